@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, packing
+from . import leakage, packing, reading_level
 
 
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +21,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p6_packing, p6_summary, p7_found)}
+def p7_per_item(spark: SparkSession, d: str) -> DataFrame:
+    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "level")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).groupBy("lang", "level").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("words"), F.avg("score").alias("mean_score"))
+
+
+QUERIES = {f.__name__: f for f in (p6_packing, p6_summary, p7_found, p7_per_item, p8_found, p8_profile)}
 
 ORACLE: dict[str, str] = {}

@@ -75,3 +75,80 @@ def _words(t: str) -> list[str]:
     if "&" in t:
         t = html.unescape(html.unescape(t))
     return _WORD.findall(plain_letters(t).casefold())
+
+
+# --- running prose ---------------------------------------------------------------------------
+
+# Link prefixes of categories, files and languages' names for them.
+_ASIDE = re.compile(r"\s*:?(?:category|kategorie|catégorie|categoría|file|image|datei|bild|fichier|archivo|imagen)\s*:", re.I)
+# The words a redirect begins with.
+_REDIRECT = re.compile(r"\s*#\s*(?:redirect|redirection|weiterleitung|redirección)", re.I)
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
+_OPEN_REF = re.compile(r"<ref\b[^<>]*>[^<\n]*", re.I)
+_MASKED = re.compile(r"<(math|code|pre|nowiki|gallery|timeline|score|syntaxhighlight|source)\b[^<>]*>.*?</\1\s*>", re.I | re.S)
+_TABLE = re.compile(r"^[ \t:]*\{\|(?:(?!^[ \t:]*\{\|).)*?^[ \t]*\|\}", re.S | re.M)
+_HEADING = re.compile(r"={2,6}[^=\n]+={2,6}")
+_NOT_PROSE = re.compile(r"^[ \t]*[*#:;|!{}=\[<]")
+_EMPHASIS_RUN = re.compile(r"[!?]{3,}")
+_SENTENCE_END = re.compile(r"(?<!\b[A-Z][a-z])(?<!\b[A-Z])[.!?]+(?=\s|$)")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
+
+
+def _prose_link(m: re.Match) -> str:
+    return "" if _ASIDE.match(m[1]) else m[1].rpartition("|")[2]
+
+
+def prose_sentences(text: str) -> list[list[str]]:
+    """The running prose of a page as sentences of words, as written.
+
+    Tables, lists, headings, templates, notes, categories, comments and
+    redirects are no prose; nor are lines of shouting, of mashed keys, of one
+    word over and over, or without any sentence.
+    """
+    if not text or _REDIRECT.match(text):
+        return []
+    if "<" in text:
+        text = _OPEN_COMMENT.sub("", _COMMENT.sub("", text))
+        text = _MASKED.sub(" ", _REF_EMPTY.sub("", text))
+        n = True
+        while n:
+            text, n = _REF.subn("", text)
+        text = _OPEN_REF.sub("", text)
+    n = "{{" in text
+    while n:
+        text, n = _TEMPLATE.subn("", text)
+    if "{|" in text:
+        n = True
+        while n:
+            text, n = _TABLE.subn("", text)
+    if "<" in text:
+        text = _TAG.sub("", _BLOCK_TAG.sub("\n", text))
+    if "[" in text:
+        n = True
+        while n:
+            text, n = _LINK.subn(_prose_link, text)
+        text = _WEB.sub("", text)
+    if "==" in text:
+        text = _HEADING.sub("\n", text)
+    if "''" in text:
+        text = _QUOTES.sub("", text)
+    if "&" in text:
+        text = html.unescape(text)
+    out = []
+    for line in text.split("\n"):
+        if len(line) < 12 or _NOT_PROSE.match(line) or "||" in line or "{{" in line:
+            continue
+        line = unicodedata.normalize("NFC", line).replace("­", "").replace("​", "")
+        for s in _SENTENCE_END.split(_EMPHASIS_RUN.sub(" ", line)):
+            words = _TOKEN.findall(s)
+            if len(words) >= 3 and _readable(words):
+                out.append(words)
+    return out
+
+
+def _readable(words: list[str]) -> bool:
+    """Neither shouted nor mashed nor one word over and over."""
+    n = len(words)
+    if sum(w.isupper() and len(w) > 1 for w in words) > n / 2 or max(map(len, words)) > 60:
+        return False
+    return len({w.lower() for w in words}) > n / 4
