@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 _NODES = "doc long, txt long, pre int, post int, depth int, tag string, attrs map<string,string>, value string"
 _ARROW = pa.schema([
     ("doc", pa.int64()), ("txt", pa.int64()), ("pre", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()),
@@ -95,7 +97,7 @@ def label_nodes(df: DataFrame, doc: str, xml: str, keep: list[str] | None = None
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
     texts = df.select(df[doc].cast("long").alias("doc"), F.xxhash64(df[xml]).alias("txt"), df[xml].alias("xml"))
-    return texts.where("doc is not null and xml is not null").mapInArrow(parse, _NODES)
+    return spread(texts.where("doc is not null and xml is not null")).mapInArrow(parse, _NODES)
 
 
 def link_up(nodes: DataFrame, above: list[str]) -> DataFrame:

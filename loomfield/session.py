@@ -6,10 +6,13 @@ import math
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 _WORK: dict[str, list[str]] = {}
 
 
@@ -28,7 +31,28 @@ def get_spark(app: str = "loomfield", master: str | None = None, **conf: str) ->
     return b.config(map=defaults | conf).getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application.
+
+    It matters where the package is on the driver's path only; with --py-files
+    or a common PYTHONPATH it changes nothing.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parent
+    if root.suffix == ".zip" or not root.is_dir():  # shipped already
+        return
+    name = Path(tempfile.mkdtemp(prefix="loomfield-package-"), "loomfield.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -82,6 +106,15 @@ def parts_for(spark: SparkSession, rows: int, rows_per_part: int) -> int:
     return max(1, min(shuffle_partitions(spark), rows), math.ceil(rows / rows_per_part))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for work that costs far more than moving its rows.
+
+    Inputs with enough splits, as all large ones have, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_path(path: str) -> str:
     """A file: URL or plain path as an operating system path."""
     return path[7:] if path.startswith("file://") else os.fspath(path)
