@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import work_table
+from ..session import spread, work_table
 from .wikitext import all_segments
 
 #: Places left free between segments, so that no passage runs from one into the next.
@@ -90,7 +90,7 @@ def positional_index(docs: DataFrame, doc_id: str, text: str, shard_terms: int =
             yield flush()
 
     slim = docs.select(docs[doc_id].cast("long").alias("d"), docs[text].alias("t")).where("d is not null and t is not null")
-    return work_table(slim.mapInArrow(build, _INDEX), "positional-index")
+    return work_table(spread(slim).mapInArrow(build, _INDEX), "positional-index")
 
 
 @dataclass(frozen=True)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import work_table
+from ..session import spread, work_table
 from .wikitext import prose_sentences
 
 GRID = np.arange(1.0, 4.01, 0.5)
@@ -122,7 +122,7 @@ def described(docs: DataFrame, doc_id: str, text: str, spec: LevelSpec) -> DataF
                 hashes.clear()
 
     slim = docs.select(docs[doc_id].cast("long").alias("d"), docs[text].alias("t")).where("d is not null and t is not null")
-    return work_table(slim.mapInArrow(run, _DOC), "prose-counts")
+    return work_table(spread(slim).mapInArrow(run, _DOC), "prose-counts")
 
 
 # --- the two halves of a round --------------------------------------------------------------------

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Fixed value: the pattern that cuts text into the pieces this vocabulary was made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -40,4 +42,4 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, vocabulary: str | None
             n = [len(encode(t.as_py() or "")) for t in b["t"]]
             yield pa.RecordBatch.from_arrays([b["d"], pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(docs[doc_id].cast("long").alias("d"), docs[text].alias("t")).mapInArrow(count, "doc_id long, n_tokens long")
+    return spread(docs.select(docs[doc_id].cast("long").alias("d"), docs[text].alias("t"))).mapInArrow(count, "doc_id long, n_tokens long")
