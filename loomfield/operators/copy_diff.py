@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_decimal, cell
-from ..session import work_table
+from ..session import pick, work_table
 
 FAN_BITS = 4
 
@@ -86,6 +86,7 @@ def depth_bits(rows: int, spec: CopySpec) -> int:
 
 def digest_tree(a: DataFrame, b: DataFrame, spec: CopySpec) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Normal rows of both copies, and the levels of the checksum tree, leaves first."""
+    a, b = pick(a, *spec.keys, *spec.fields), pick(b, *spec.keys, *spec.fields)
     bits = depth_bits(max(a.count(), b.count()), spec)
     na, nb = _normal(a, spec, bits), _normal(b, spec, bits)
     both = leaf_digests(na, "a").join(leaf_digests(nb, "b"), "_leaf", "full_outer")

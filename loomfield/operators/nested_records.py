@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import pick, spread
 
 _NODES = "doc long, txt long, pre int, post int, depth int, tag string, attrs map<string,string>, value string"
 _ARROW = pa.schema([
@@ -96,6 +96,7 @@ def label_nodes(df: DataFrame, doc: str, xml: str, keep: list[str] | None = None
         if cols[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
+    df = pick(df, doc, xml)
     texts = df.select(df[doc].cast("long").alias("doc"), F.xxhash64(df[xml]).alias("txt"), df[xml].alias("xml"))
     return spread(texts.where("doc is not null and xml is not null")).mapInArrow(parse, _NODES)
 

@@ -12,7 +12,7 @@ range edge.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell, micros
-from ..session import parts_for, work_table
+from ..session import parts_for, pick, work_table
 
 FOREVER = (1 << 63) - 1
 BEGINNING = -(1 << 63)
@@ -132,6 +132,8 @@ def orphan_references(parents: DataFrame, key: str, loaded: str, deleted: str, r
     loads. Repeated parent rows count once; repeated references each give
     their row. Empty parents make every reference missing.
     """
+    parents = pick(parents, key, loaded, deleted)
+    refs = [replace(r, df=pick(r.df, r.key, r.time, r.rec, *([r.period] if r.period else []))) for r in refs]
     ev = _events(parents, key, loaded, deleted, refs)
     spark = parents.sparkSession
     rows = parents.count() + sum(r.df.count() for r in refs)

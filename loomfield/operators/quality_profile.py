@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell
-from ..session import work_table
+from ..session import pick, work_table
 
 QUANTILES = 16
 FOLDS = 2
@@ -56,6 +56,7 @@ def codebook_bounds(vars_: DataFrame, block: str, columns: list[str]) -> dict[st
 
 def classified(df: DataFrame, spec: ProfileSpec) -> DataFrame:
     """Per row and column the cell's class (blank, pattern, range, valid) and its number."""
+    df = pick(df, spec.load, spec.owner, spec.seq, spec.rec, *spec.columns)
     out = df.select(F.col(spec.load).cast("string").alias("load"), F.col(spec.owner).cast("string").alias("owner"), F.col(spec.seq).cast("long").alias("seq"), F.col(spec.rec).cast("long").alias("rec"), *[cell(F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(spec.columns)])
     for i, (lo, hi) in enumerate(spec.bounds.values()):
         c = F.col(f"c{i}")
@@ -246,7 +247,7 @@ def load_issues(rows: DataFrame, spec: ProfileSpec) -> tuple[DataFrame, DataFram
     take no part here; empty tables give no rows.
     """
     counts = work_table(value_counts(rows, spec), "value-counts")
-    profiles = load_profiles(counts)
+    profiles = work_table(load_profiles(counts), "load-profiles")
     pairs = load_pairs(profiles)
     model = work_table(discrimination(rows, counts, pairs, spec), "discrimination")
     held = profiles.where("load is not null")
@@ -261,6 +262,7 @@ def load_issues(rows: DataFrame, spec: ProfileSpec) -> tuple[DataFrame, DataFram
 
 def bound_issues(vars_: DataFrame) -> DataFrame:
     """Rows (column_name, issue, rec_no) of a catalogue's impossible bounds; null or NaN bounds break nothing."""
+    vars_ = pick(vars_, "rng_min", "rng_max", "ddi_width", "rec_no")
     lo, hi = F.col("rng_min"), F.col("rng_max")
     inverted = vars_.where((lo > hi) & ~F.isnan(lo)).select(F.lit("rng_min").alias("column_name"), F.lit("inverted").alias("issue"), F.col("rec_no"))
     wide = vars_.where((hi >= F.pow(F.lit(10.0), F.col("ddi_width"))) & ~F.isnan(hi)).select(F.lit("rng_max").alias("column_name"), F.lit("too_wide").alias("issue"), F.col("rec_no"))

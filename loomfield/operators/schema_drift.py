@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import words_of
+from ..session import pick
 
 #: Costs of the edit operations.
 COST = {"added": 1.0, "removed": 1.0, "renamed": 1.0, "moved": 1.5, "type": 0.25, "width": 0.25}
@@ -166,6 +167,7 @@ def schema_changes(variables: DataFrame, moves: bool = False) -> DataFrame:
     series, round or name are no fields. Repeated rows count once; a first
     round has no edits; an empty catalogue gives none.
     """
+    variables = pick(variables, "series_id", "round_no", "delivery_id", "fid", "ddi_pos", "name", "label", "type", "ddi_width", "loaded_at")
     trees = _trees(variables)
     prev = previous_in_order(variables.where("name is not null and series_id is not null and round_no is not null"), "series_id", "round_no").where("prev is not null")
     new = trees.select("series_id", "round_no", F.col("tree").alias("new"))

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -56,6 +57,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pick(df: DataFrame, *columns: str) -> DataFrame:
+    """Just these columns, by exact name, even where others differ only by case or repeat the name."""
+    lower = [c.lower() for c in df.columns]
+    if any(lower.count(c.lower()) > 1 for c in columns):
+        by_place = df.toDF(*[f"_{i}" for i in range(len(lower))])
+        return by_place.select(*[F.col(f"_{df.columns.index(c)}").alias(c) for c in dict.fromkeys(columns)])
+    return df.select(*[df[c] for c in dict.fromkeys(columns)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
