@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread, work_table
+from ..session import pick, spread, work_table
 from .wikitext import all_segments
 
 #: Places left free between segments, so that no passage runs from one into the next.
@@ -89,6 +89,7 @@ def positional_index(docs: DataFrame, doc_id: str, text: str, shard_terms: int =
         if ids:
             yield flush()
 
+    docs = pick(docs, doc_id, text)
     slim = docs.select(docs[doc_id].cast("long").alias("d"), docs[text].alias("t")).where("d is not null and t is not null")
     return work_table(spread(slim).mapInArrow(build, _INDEX), "positional-index")
 
@@ -192,6 +193,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     rows. Notes, templates and comments are searched too.
     """
     index = positional_index(docs, doc_id, text)
+    items = pick(items, item_id, item_text)
     spark = docs.sparkSession
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").orderBy("i").toLocalIterator()
     result = None

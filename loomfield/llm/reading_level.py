@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread, work_table
+from ..session import pick, spread, work_table
 from .wikitext import prose_sentences
 
 GRID = np.arange(1.0, 4.01, 0.5)
@@ -121,6 +121,7 @@ def described(docs: DataFrame, doc_id: str, text: str, spec: LevelSpec) -> DataF
             if len(hashes) > 1_000_000:
                 hashes.clear()
 
+    docs = pick(docs, doc_id, text)
     slim = docs.select(docs[doc_id].cast("long").alias("d"), docs[text].alias("t")).where("d is not null and t is not null")
     return work_table(spread(slim).mapInArrow(run, _DOC), "prose-counts")
 
@@ -276,6 +277,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     """
     spark = docs.sparkSession
     counts = described(docs, doc_id, text, spec)
+    labels = pick(labels, doc_id, rater, level)
     marks = labels.select(
         labels[doc_id].cast("long").alias("doc_id"), F.pmod(F.crc32(F.coalesce(labels[rater], F.lit("")).cast("binary")), F.lit(RATERS)).cast("int").alias("rater"), labels[level].cast("int").alias("level")
     ).where("doc_id is not null and level between 1 and 4")

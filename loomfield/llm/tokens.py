@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import pick, spread
 
 # Fixed value: the pattern that cuts text into the pieces this vocabulary was made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,6 +35,7 @@ def encoder(path: str):
 def token_counts(docs: DataFrame, doc_id: str, text: str, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of every row, over the whole text; null and empty texts have 0 tokens."""
     path = vocabulary or default_vocabulary()
+    docs = pick(docs, doc_id, text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
