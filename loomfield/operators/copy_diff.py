@@ -92,8 +92,9 @@ def digest_tree(a: DataFrame, b: DataFrame, spec: CopySpec) -> tuple[DataFrame,
     both = leaf_digests(na, "a").join(leaf_digests(nb, "b"), "_leaf", "full_outer")
     leaves = work_table(both.na.fill(0), "digest-leaves")
     levels = [leaves]
-    for _ in range(math.ceil(bits / FAN_BITS)):
-        levels.append(_fold(levels[-1]))
+    for i in range(math.ceil(bits / FAN_BITS)):
+        up = _fold(levels[-1])
+        levels.append(work_table(up, "digest-level") if i == 0 else up)  # all above is a fraction of it
     return na, nb, levels
 
 

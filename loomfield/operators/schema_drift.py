@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import words_of
-from ..session import pick
+from ..session import pick, work_table
 
 #: Costs of the edit operations.
 COST = {"added": 1.0, "removed": 1.0, "renamed": 1.0, "moved": 1.5, "type": 0.25, "width": 0.25}
@@ -176,6 +176,37 @@ def schema_changes(variables: DataFrame, moves: bool = False) -> DataFrame:
     return both.select("series_id", "round_no", "old", "new").mapInArrow(_scripts(moves), _EDITS)
 
 
+def unified_variables(variables: DataFrame) -> DataFrame:
+    """One consistent table over all rounds: (series_id, fid, round_no, name, variable, type, width, unified_type, unified_width).
+
+    Each delivered field follows its edit scripts to the last name it bears:
+    variable. A field that vanishes and comes back under that name is the same
+    variable. unified_type is numeric only if it always is, unified_width the
+    largest. Names are followed by doubling, so a chain over n rounds takes
+    log n joins, none of which gathers a series in one task.
+    """
+    variables = pick(variables, "series_id", "round_no", "delivery_id", "fid", "ddi_pos", "name", "label", "type", "ddi_width", "loaded_at")
+    key = ["series_id", "fid", "round_no", "name"]
+    leaf = _trees(variables).select("series_id", "round_no", F.explode("tree").alias("l"))
+    fields = work_table(leaf.groupBy("series_id", F.col("l.parent").alias("fid"), "round_no", F.col("l.name").alias("name")).agg(F.min(F.struct("l.pos", "l.type", "l.width")).alias("f")), "fields")
+    order = previous_in_order(fields, "series_id", "round_no").where("prev is not null")
+    renamed = schema_changes(variables).where("change = 'renamed'").select("series_id", "fid", "round_no", "name", "old_name")
+    now = fields.select(*key).join(order, ["series_id", "round_no"]).join(renamed, key, "left")
+    was = now.select("series_id", "fid", F.col("prev").alias("round_no"), F.coalesce("old_name", "name").alias("name"), F.col("round_no").alias("to_round"), F.col("name").alias("to_name"))
+    step = work_table(fields.select(*key).join(was, key, "left").select(*key, F.coalesce("to_round", "round_no").alias("to_round"), F.coalesce("to_name", "name").alias("to_name")), "steps")
+    while True:
+        onward = step.select("series_id", "fid", F.col("round_no").alias("to_round"), F.col("name").alias("to_name"), F.col("to_round").alias("far_round"), F.col("to_name").alias("far_name"))
+        far = work_table(step.join(onward, ["series_id", "fid", "to_round", "to_name"]), "steps")
+        moved = far.where("far_round != to_round").limit(1).count()
+        step = far.select(*key, F.col("far_round").alias("to_round"), F.col("far_name").alias("to_name"))
+        if not moved:
+            break
+    out = fields.join(step, key).select(*key, F.col("to_name").alias("variable"), F.col("f.type").alias("type"), F.col("f.width").alias("width"))
+    numeric = F.min((F.col("type") == "numeric").cast("int")) == 1
+    whole = out.groupBy("series_id", "fid", "variable").agg(F.when(numeric, "numeric").otherwise("character").alias("unified_type"), F.max("width").alias("unified_width"))
+    return out.join(whole, ["series_id", "fid", "variable"])
+
+
 # --- files with differing schemas ---------------------------------------------------------------
 
 

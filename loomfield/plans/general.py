@@ -43,6 +43,16 @@ def p2_variables(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("doc").alias("codebook_id"), "var_id", "name", "label", F.size("file_ids").cast("long").alias("n_files"))
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    t = codebook_tables.codebook_tables(table(spark, d, "ddi_codebooks"))["files"]
+    return t.select(F.col("doc").alias("codebook_id"), "file_id", "cases")
+
+
+def p2_categories(spark: SparkSession, d: str) -> DataFrame:
+    t = codebook_tables.codebook_tables(table(spark, d, "ddi_codebooks"))["categories"]
+    return t.select(F.col("doc").alias("codebook_id"), "var_id", F.col("value").alias("category"))
+
+
 def _profile_spec(spark: SparkSession, d: str) -> quality_profile.ProfileSpec:
     return quality_profile.ProfileSpec(quality_profile.codebook_bounds(table(spark, d, "codebook_vars"), LOAN_BLOCK, ["B10_q3", "Wgt1_strm"]))
 
@@ -94,7 +104,12 @@ def p5_per_change(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("change").agg(F.count(F.lit(1)).alias("cases"), F.count_distinct("series_id").alias("series"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_per_field, p1_ranges, p2_found, p2_variables, p3_found, p3_profile, p3_shifts, p4_found, p4_report, p5_found, p5_per_change)}
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    t = schema_drift.unified_variables(table(spark, d, "ddi_variables"))
+    return t.select("series_id", "fid", "round_no", "name", "variable", "type", "width", "unified_type", "unified_width")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_per_field, p1_ranges, p2_found, p2_files, p2_variables, p2_categories, p3_found, p3_profile, p3_shifts, p4_found, p4_report, p5_found, p5_per_change, p5_table)}
 
 # --- SQL ------------------------------------------------------------------------------------------
 
@@ -189,5 +204,13 @@ ORACLE = {
     "p4_found": f"{_ORPHANS} SELECT table_name, rec_no, kind FROM o",
     "p4_report": f"{_ORPHANS} SELECT table_name, coalesce(sub_round, '') AS sub_round, kind, count(*) AS orphans FROM o GROUP BY ALL",
     "p5_found": f"{_P5} SELECT * FROM ch",
+    "p5_table": f"""{_P5.replace('WITH v AS', 'WITH RECURSIVE v AS', 1)},
+ln AS (SELECT r.series_id, t.fid, r.prev AS round_no, coalesce(n.was, t.name) AS name, r.round_no AS to_round, t.name AS to_name
+  FROM r JOIN t ON t.series_id = r.series_id AND t.round_no = r.round_no LEFT JOIN ren n ON n.series_id = t.series_id AND n.fid = t.fid AND n.round_no = t.round_no AND n.name = t.name WHERE r.prev IS NOT NULL),
+nodes AS (SELECT series_id, fid, round_no, name, any_value(ty) AS type, any_value(w) AS width FROM t GROUP BY ALL),
+chain AS (SELECT series_id, fid, round_no, name, name AS variable FROM nodes ANTI JOIN (SELECT ln.series_id, ln.fid, ln.round_no, ln.name FROM ln JOIN nodes m ON m.series_id = ln.series_id AND m.fid = ln.fid AND m.round_no = ln.to_round AND m.name = ln.to_name) USING (series_id, fid, round_no, name)
+  UNION ALL SELECT ln.series_id, ln.fid, ln.round_no, ln.name, chain.variable FROM chain JOIN ln ON ln.series_id = chain.series_id AND ln.fid = chain.fid AND ln.to_round = chain.round_no AND ln.to_name = chain.name JOIN nodes m ON m.series_id = ln.series_id AND m.fid = ln.fid AND m.round_no = ln.round_no AND m.name = ln.name)
+SELECT c.*, n.type, n.width, CASE WHEN bool_and(n.type = 'numeric') OVER w THEN 'numeric' ELSE 'character' END AS unified_type, max(n.width) OVER w AS unified_width
+FROM chain c JOIN nodes n USING (series_id, fid, round_no, name) WINDOW w AS (PARTITION BY c.series_id, c.fid, c.variable)""",
     "p5_per_change": f"{_P5} SELECT change, count(*) AS cases, count(DISTINCT series_id) AS series FROM ch GROUP BY change",
 }

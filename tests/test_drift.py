@@ -3,7 +3,7 @@ import random
 from datetime import datetime
 
 import pytest
-from loomfield.operators.schema_drift import COST, Leaf, edit_distance, edit_script, previous_in_order, read_unified, schema_changes, unify_schemas, wider_type
+from loomfield.operators.schema_drift import COST, Leaf, edit_distance, edit_script, previous_in_order, read_unified, schema_changes, unified_variables, unify_schemas, wider_type
 from pyspark.sql import types as T
 
 V = "series_id long, round_no int, delivery_id long, fid string, ddi_pos int, name string, label string, type string, ddi_width int, loaded_at timestamp_ntz"
@@ -72,6 +72,14 @@ def test_changes(spark):
     assert schema_changes(frame(spark, rows[:0])).count() == 0
 
 
+def test_names_are_followed_over_rounds(spark):
+    rows = [(1, r, r, "F1", 0, f"n{r // 2}", "same words", "num" if r < 5 else "char", r, r) for r in range(1, 9)]
+    rows += [(1, r, r, "F1", 1, "comes", "", "num", 1, r) for r in (1, 2, 6)] + [(2, 3, 30, "F1", 0, "alone", None, None, None, 1)]
+    got = {(r["series_id"], r["round_no"], r["name"]): (r["variable"], r["unified_type"], r["unified_width"]) for r in unified_variables(frame(spark, rows)).collect()}
+    assert got == {(1, r, f"n{r // 2}"): ("n4", "character", 8) for r in range(1, 9)} | {(1, r, "comes"): ("comes", "numeric", 1) for r in (1, 2, 6)} | {(2, 3, "alone"): ("alone", "character", None)}
+    assert unified_variables(frame(spark, rows[:0])).count() == 0
+
+
 def test_previous_in_order_over_blocks(spark):
     r = random.Random(1)
     rows = [("hot", r.randrange(-300, 300)) for _ in range(200)] + [("b", 5)]
