@@ -123,11 +123,11 @@ def explode_files(spark: SparkSession, d: str) -> DataFrame:
     return one.join(v.select("fid").distinct(), "fid", "left_semi").select("name", "fid")
 
 
-def blocks_not_located(spark: SparkSession, d: str) -> DataFrame:
-    """Files of deliveries that the valid codebook doesn't have."""
-    f = table(spark, d, "ddi_variables").select("delivery_id", "fid").distinct().withColumn("key", F.concat(F.col("fid"), F.lit("x")))
-    known = table(spark, d, "codebook_vars").where("fid = 'F1'").select(F.concat(F.col("fid"), F.lit("x")).alias("key")).distinct()
-    return f.join(known, "key", "left_anti").select("delivery_id", "fid")
+def households_not_located(spark: SparkSession, d: str) -> DataFrame:
+    """Households that no person row belongs to; both keys as cells."""
+    h = table(spark, d, HOUSEHOLDS).select("rec_no", cell(F.col("Hhold_key")).alias("key"))
+    p = table(spark, d, PERSONS).select(cell(F.col("Hhold_key")).alias("key")).distinct()  # a hot key moves once per task
+    return h.join(p, "key", "left_anti").select("rec_no", "key")
 
 
 def label_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *_ROUNDTRIPS, roundtrip_loans, typed_lineitem, pruned_lineitem, record_order, width_by_range, column_offsets, type_histogram, encoding_counts, single_owner_names,
-        block_totals, widest_first, explode_files, blocks_not_located, label_lookup, double_text, safe_names, stata_names, uri_tails, fwf_lines, csv_lines, tsv_lines, jsonl_lines,
+        block_totals, widest_first, explode_files, households_not_located, label_lookup, double_text, safe_names, stata_names, uri_tails, fwf_lines, csv_lines, tsv_lines, jsonl_lines,
         missing_columns, row_column_counts, bag_diff, bag_except, bag_equal, pair_exports, validate_export, fwf_file,
     )
 }
@@ -315,7 +315,7 @@ ORACLE = {f"roundtrip_{t}": _roundtrip_sql(t) for t in _COLS} | {
     "block_totals": "SELECT fid, block_name, count(*) AS variables, CAST(sum(ddi_width) AS BIGINT) AS record_width FROM codebook_vars GROUP BY ALL",
     "widest_first": "SELECT fid, ddi_pos, name, ddi_width FROM codebook_vars ORDER BY ddi_width DESC, fid, ddi_pos LIMIT 10",
     "explode_files": "WITH l AS (SELECT name, string_agg(DISTINCT fid, ' ') || '  F9' AS files FROM codebook_vars GROUP BY name), e AS (SELECT name, unnest(regexp_split_to_array(files, '\\s+')) AS fid FROM l) SELECT name, fid FROM e WHERE fid IN (SELECT fid FROM codebook_vars)",
-    "blocks_not_located": "SELECT DISTINCT delivery_id, fid FROM ddi_variables v WHERE NOT EXISTS (SELECT 1 FROM codebook_vars c WHERE c.fid = 'F1' AND c.fid = v.fid)",
+    "households_not_located": f"SELECT rec_no, {_cell('Hhold_key')} AS key FROM {HOUSEHOLDS} WHERE {_cell('Hhold_key')} NOT IN (SELECT {_cell('Hhold_key')} FROM {PERSONS})",
     "label_lookup": f"SELECT n.name, coalesce(c.label, n.name) AS label FROM (SELECT column_name AS name FROM (DESCRIBE {RECORDS})) n LEFT JOIN (SELECT name, label FROM codebook_vars WHERE fid = 'F2') c ON c.name = n.name",
     "double_text": f"SELECT l_orderkey, l_linenumber, {_dbl('l_extendedprice')} AS price, {_dbl('l_discount')} AS discount FROM lineitem",
     "safe_names": "SELECT doc_id, lower(trim(regexp_replace(page_title, '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS safe FROM documents",
