@@ -41,10 +41,14 @@ def quoted(c: Column, sep: str, alone: bool = False) -> Column:
 
 
 def double_text(c: Column, dcml: int = 6) -> Column:
-    """A double as text: whole numbers exactly, others with at most six decimals, '' for null, NaN and what counts as missing.
+    """A double as text: whole numbers exactly, others with at most dcml (six or more) decimals less trailing zeros.
 
-    Exact for sizes below nine billion, where the JVM's formatting rounds right.
+    '' for null, NaN and what counts as missing. All in the JVM, whose formatting
+    rounds right for sizes below nine billion; fractions beyond that and whole
+    numbers beyond a long give null rather than a wrong digit, for them
+    sources.container.double_text is exact.
     """
     missing = c.isNull() | F.isnan(c) | (c >= F.lit(1.7976931348623157e308) * 0.99)
     fixed = F.replace(F.format_number(c, max(dcml, 6)), F.lit(","), F.lit(""))
-    return F.when(missing, "").when(c == F.rint(c), c.cast("bigint").cast("string")).otherwise(F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit(".")))
+    part = F.when(F.abs(c) < 9e9, F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit(".")))
+    return F.when(missing, "").when(c == F.rint(c), c.try_cast("bigint").cast("string")).otherwise(part)

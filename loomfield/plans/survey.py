@@ -15,8 +15,8 @@ from ..functions.text import cell
 from ..operators import bag_compare, pairing, table_checks
 from ..session import local_path, shared_dir, table
 from ..sources import sinks
-from ..sources.codebook import Variable
-from ..sources.container import read_block
+from ..sources.codebook import Variable, codebook_frames, read_codebook
+from ..sources.container import block_layout, read_block
 from ..sources.encode import write_container
 from .general import EXPORT, HOUSEHOLDS, LOAN_FIELDS, PERSONS, RECORDS, _cell
 
@@ -70,6 +70,20 @@ def record_order(spark: SparkSession, d: str) -> DataFrame:
     return read_block(spark, path, fid, book, columns=["o_orderkey"], with_rec=True).select(F.col("_rec").alias("rec"), "o_orderkey")
 
 
+def codebook_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Variables as the codebook of a written table states them."""
+    _, book, _ = _written(spark, d, "lineitem")
+    _, variables = codebook_frames(spark, read_codebook(book))
+    return variables.select("ddi_pos", "name", "type", "ddi_width", "rng_min", "rng_max")
+
+
+def layout_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of a written table located, matched and laid out: storage, bytes, and place of each column."""
+    path, book, fid = _written(spark, d, "lineitem")
+    rows = [(c.name, c.slot.encoding, c.width, c.offset) for c in block_layout(path, book, fid).columns]
+    return spark.createDataFrame(rows, "name string, encoding string, width int, col_offset long")
+
+
 # --- layout ---------------------------------------------------------------------------------------------
 
 
@@ -251,7 +265,7 @@ _ROUNDTRIPS = [_roundtrip(n) for n in ("nation", "customer", "supplier", "part",
 QUERIES = {
     f.__name__: f
     for f in (
-        *_ROUNDTRIPS, roundtrip_loans, typed_lineitem, pruned_lineitem, record_order, width_by_range, column_offsets, type_histogram, encoding_counts, single_owner_names,
+        *_ROUNDTRIPS, roundtrip_loans, typed_lineitem, pruned_lineitem, record_order, codebook_scan, layout_scan, width_by_range, column_offsets, type_histogram, encoding_counts, single_owner_names,
         block_totals, widest_first, explode_files, households_not_located, label_lookup, double_text, safe_names, stata_names, uri_tails, fwf_lines, csv_lines, tsv_lines, jsonl_lines,
         missing_columns, row_column_counts, bag_diff, bag_except, bag_equal, pair_exports, validate_export, fwf_file,
     )
@@ -302,11 +316,25 @@ _COUNTS = f"SELECT {_NAMES}, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGIN
 _PERSON_COLS = ["rec_no", "Hhold_key", *[f"B41_q{i}" for i in range(1, 10)], "Wgt1_strm", "sub_round", "loaded_at"]
 _JSON_COLS = ("rec_no", "Hhold_key", *LOAN_FIELDS)
 
+def _fact(i: int, c: str, kind) -> str:
+    if kind is _int:
+        return f"SELECT {i} AS ddi_pos, '{c}' AS name, 'numeric' AS type, 'offset' AS encoding, CAST(length(CAST(max({c}) AS VARCHAR)) AS INTEGER) AS ddi_width, CAST(min({c}) AS DOUBLE) AS rng_min, CAST(max({c}) AS DOUBLE) AS rng_max, count(*) AS n FROM lineitem"
+    if kind is _dbl:
+        return f"SELECT {i}, '{c}', 'numeric', 'double', 12, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), count(*) FROM lineitem"
+    return f"SELECT {i}, '{c}', 'character', 'char', CAST(max(length({(kind or _time)(c)})) AS INTEGER), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), count(*) FROM lineitem"
+
+
+#: What the written codebook must state of lineitem; its ranges fill no whole number of bytes.
+_FACTS = " UNION ALL ".join(_fact(i, c, kind) for i, (c, kind) in enumerate(_COLS["lineitem"].items()))
+
 ORACLE = {f"roundtrip_{t}": _roundtrip_sql(t) for t in _COLS} | {
     "roundtrip_loans": f"SELECT CAST(rec_no AS VARCHAR) AS rec_no, {', '.join(f'{_cell(c)} AS {c}' for c in ('Hhold_key', 'B10_q1', *LOAN_FIELDS, 'sub_round', 'office'))} FROM {RECORDS}",
     "typed_lineitem": f"SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, {_time('l_shipdate')} AS l_shipdate FROM lineitem",
     "pruned_lineitem": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ALL",
     "record_order": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rec, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM orders",
+    "codebook_scan": f"SELECT ddi_pos, name, type, ddi_width, rng_min, rng_max FROM ({_FACTS})",
+    "layout_scan": f"""SELECT name, encoding, width, CAST(coalesce(sum(width * n) OVER (ORDER BY ddi_pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS col_offset
+      FROM (SELECT name, ddi_pos, n, encoding, CAST(CASE encoding WHEN 'char' THEN ddi_width WHEN 'double' THEN 8 ELSE greatest(1, ceil(length(bin(CAST(rng_max - rng_min AS BIGINT))) / 8.0)) END AS INTEGER) AS width FROM ({_FACTS}))""",
     "width_by_range": " UNION ALL ".join(f"SELECT '{c}' AS column_name, span, greatest(1, CAST(ceil(length(bin(span)) / 8.0) AS BIGINT)) AS bytes FROM (SELECT greatest(CAST(max({c}) - min({c}) AS BIGINT), 0) AS span FROM lineitem)" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")),
     "column_offsets": "SELECT fid, name, CAST(coalesce(sum(ddi_width * 1000) OVER (PARTITION BY fid ORDER BY ddi_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS col_offset FROM codebook_vars",
     "type_histogram": "SELECT series_id, fid, coalesce(type, '') AS type, count(*) AS n FROM ddi_variables GROUP BY ALL",
