@@ -1,6 +1,7 @@
 """Reading level of running prose, by a Rasch-style model of word difficulty.
 
-Every word of a document is a trial. Items are the words themselves and, per
+Every word of a document but names and first words, told by their capital, is a
+trial. Items are the words themselves and, per
 language, "longer than m letters". The chance that a trial meets an item goes up
 or down with the document's latent level theta: log-odds (or log rate) kappa +
 beta * theta, so an item's difficulty is -kappa / beta. Length items carry the
@@ -85,7 +86,7 @@ def describe(text: str, hashes: dict[str, int], min_words: int) -> tuple | None:
     n = sum(map(len, sentences))
     if n < min_words:
         return None
-    lows = Counter(w for s in sentences for w in s if w[0].islower())
+    lows = Counter(w for s in sentences for w in s if w[0].isalpha() and not w[0].isupper())
     marks = [sum(lows[w] for w in ws if w in lows) for ws in _FUNCTION]
     lang = int(np.argmax(marks)) if max(marks) > 0 else len(LANGUAGES) - 1
     by_item: Counter = Counter()
