@@ -107,6 +107,7 @@ def prose_sentences(text: str) -> list[list[str]]:
     """
     if not text or _REDIRECT.match(text):
         return []
+    text = _EMPHASIS_RUN.sub(" ", text)  # before markup is told by the character a line begins with
     if "<" in text:
         text = _OPEN_COMMENT.sub("", _COMMENT.sub("", text))
         text = _MASKED.sub(" ", _REF_EMPTY.sub("", text))
@@ -139,7 +140,7 @@ def prose_sentences(text: str) -> list[list[str]]:
         if len(line) < 12 or _NOT_PROSE.match(line) or "||" in line or "{{" in line:
             continue
         line = unicodedata.normalize("NFC", line).replace("­", "").replace("​", "")
-        for s in _SENTENCE_END.split(_EMPHASIS_RUN.sub(" ", line)):
+        for s in _SENTENCE_END.split(line):
             words = _TOKEN.findall(s)
             if len(words) >= 3 and _readable(words):
                 out.append(words)

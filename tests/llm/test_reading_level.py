@@ -83,3 +83,8 @@ Last line of prose !!!!!!!!!!"""
     assert [" ".join(s) for s in prose_sentences(page)] == ["Name is a place in the north", "It has roads", "Last line of prose"]
     assert prose_sentences("#REDIRECT [[Some other page here now]]") == [] and prose_sentences("") == []
     assert prose_sentences("{| table never closed\n| a b c d e.\nThe text goes on here.") == [["The", "text", "goes", "on", "here"]]
+
+
+def test_runs_before_a_line():
+    page = "!!!!!!!!!! Prose behind a run counts.\n!!!!!!!!!! !!!!!!!!!! '''So''' does this line.\n!!!!!!!!!! * but no list item\n!!!!!!!!!! == Nor a heading ==\n! nor !! a header !! row of a table\n!!!!!!!!!! {|\n| a\nwords of a cell stand here\n|}"
+    assert [" ".join(s) for s in prose_sentences(page)] == ["Prose behind a run counts", "So does this line"]
