@@ -1,7 +1,8 @@
 """Reading level of running prose, by a Rasch-style model of word difficulty.
 
-Every word of a document but names and first words, told by their capital, is a
-trial. Items are the words themselves and, per
+Every word of a document is a trial. Names and first words, told by their capital,
+are none, but in a language that capitals all nouns a capital tells nothing and
+every word counts. Items are the words themselves and, per
 language, "longer than m letters". The chance that a trial meets an item goes up
 or down with the document's latent level theta: log-odds (or log rate) kappa +
 beta * theta, so an item's difficulty is -kappa / beta. Length items carry the
@@ -47,6 +48,8 @@ FUNCTION_WORDS = {
     "es": "el la los las un una en de con por para este cada desde bajo",
 }
 LANGUAGES = [*FUNCTION_WORDS, "other"]
+# The languages of these that write nouns with a capital.
+NOUN_CAPITALS = frozenset({"de"})
 _FUNCTION = [frozenset(v.split()) for v in FUNCTION_WORDS.values()]
 LEN0 = WORDS
 TRIALS0 = LEN0 + len(LANGUAGES) * N_LEN
@@ -89,6 +92,8 @@ def describe(text: str, hashes: dict[str, int], min_words: int) -> tuple | None:
     lows = Counter(w for s in sentences for w in s if w[0].isalpha() and not w[0].isupper())
     marks = [sum(lows[w] for w in ws if w in lows) for ws in _FUNCTION]
     lang = int(np.argmax(marks)) if max(marks) > 0 else len(LANGUAGES) - 1
+    if LANGUAGES[lang] in NOUN_CAPITALS:
+        lows = Counter(w.lower() for s in sentences for w in s if w[0].isalpha())
     by_item: Counter = Counter()
     longer = np.zeros(N_LEN, np.int64)
     for w, c in lows.items():

@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from loomfield.llm.reading_level import LevelSpec, fit_rates, reading_levels
+from loomfield.llm.reading_level import LANGUAGES, LevelSpec, describe, fit_rates, reading_levels
 from loomfield.llm.wikitext import prose_sentences
 import numpy as np
 
@@ -88,3 +88,10 @@ Last line of prose !!!!!!!!!!"""
 def test_runs_before_a_line():
     page = "!!!!!!!!!! Prose behind a run counts.\n!!!!!!!!!! !!!!!!!!!! '''So''' does this line.\n!!!!!!!!!! * but no list item\n!!!!!!!!!! == Nor a heading ==\n! nor !! a header !! row of a table\n!!!!!!!!!! {|\n| a\nwords of a cell stand here\n|}"
     assert [" ".join(s) for s in prose_sentences(page)] == ["Prose behind a run counts", "So does this line"]
+
+
+def test_german_nouns_are_trials():
+    n, lang, trials, *_ = describe("Der Hund und die Katze von Hamburg sind bei der Verfassungsgerichtsbarkeit. " * 10, {}, 100)
+    assert (n, LANGUAGES[lang], trials) == (110, "de", 110)
+    n, lang, trials, *_ = describe("The dog and the cat of Boston are with a jurisdiction. " * 10, {}, 100)
+    assert (n, LANGUAGES[lang], trials) == (110, "en", 90)
