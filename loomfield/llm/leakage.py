@@ -165,21 +165,21 @@ def passages(queries: list[Query], rule: Rule, terms: list[str], counts: np.ndar
             continue
         run = np.zeros(len(at), int)
         chain = np.zeros(len(at), int)
-        ok = np.zeros(len(at), bool)
-        first = np.zeros(len(at), int)
         before = np.ones(len(at), bool)
+        was = np.zeros(len(at), bool)
+        hits = []  # where passages begin to count; the free places end both kinds, so each document on a diagonal has its own
         for i in range(len(item)):
             m = same[:, i]
             run = np.where(m, run + 1, 0)
             chain = np.where(m, chain + 1, np.where(before, chain, 0))
             before = m
             now = (run >= rule.run) | (chain >= q.need)
-            first = np.where(now & ~ok, i, first)
-            ok |= now
-        for p in (at + first)[ok]:
-            d = np.searchsorted(starts, p, side="right") - 1
-            if d >= 0 and p < doc_ends[d]:
-                out.add((int(docs[d]), q.item))
+            hits.append(at[now & ~was] + i)
+            was = now
+        p = np.concatenate(hits)
+        d = np.searchsorted(starts, p, side="right") - 1
+        d = np.unique(d[(d >= 0) & (p < doc_ends[d])])
+        out.update((int(x), q.item) for x in docs[d])
     return out
 
 

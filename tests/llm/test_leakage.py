@@ -1,7 +1,8 @@
 import random
 
+import numpy as np
 import pytest
-from loomfield.llm.leakage import Rule, choose_anchors, leaked_items
+from loomfield.llm.leakage import GAP, Query, Rule, build_shard, choose_anchors, leaked_items, passages
 from loomfield.llm.wikitext import all_segments
 
 D, I = "doc_id long, text string", "item_id long, text string"
@@ -90,3 +91,26 @@ def test_anchors_leave_no_window_free():
 
 def test_segments():
     assert all_segments("a<ref>b c</ref> d {{t|e {{u|f}} g}} [[x|h]]<!-- i -->") == [["a", "d", "h"], ["i"], ["b", "c"], ["u", "f"], ["t", "e", "g"]]
+
+
+def shard_found(docs, items):
+    """Pairs found when all documents stand in one shard, in this order."""
+    names, chunks, starts = {}, [], []
+    for _, text in docs:
+        starts.append(sum(map(len, chunks)))
+        chunks += [np.array([names.setdefault(w, len(names)) for w in text.split()], np.int32), np.full(GAP, -1, np.int32)]
+    terms, counts, deltas, ids, begins, n = build_shard([d for d, _ in docs], np.concatenate(chunks), np.array(starts), list(names))
+    queries = [Query(i, tuple(t.split()), *choose_anchors(t.split(), dict(zip(terms, counts)), Rule())) for i, t in items]
+    return sorted(passages(queries, Rule(), terms, np.array(counts), np.frombuffer(deltas, np.int32), np.frombuffer(ids, np.int64), np.frombuffer(begins, np.int32), n))
+
+
+@pytest.mark.parametrize("lengths", [(12, 12, 12), (12, 11, 12), (12, 12, 30), (40, 12, 12), (3, 12, 13)])
+def test_neighbours_on_one_diagonal(lengths):
+    item = [f"w{i}" for i in range(76)]
+    docs, at = [], 0
+    for d, n in enumerate(lengths):
+        docs.append((d, " ".join((["x", "y"] if d == 0 else []) + item[at : at + n])))
+        at += n + GAP
+    items = [(1, " ".join(item)), (2, "w0 w1 w2 w3 w4")]
+    want = brute(docs, items)
+    assert len(want) > 1 and shard_found(docs, items) == want
