@@ -74,6 +74,36 @@ def walk_xml(text: str, keep: frozenset[str] | None = None) -> list[tuple] | Non
     return w.nodes
 
 
+def refused_xml(text: str) -> bool:
+    """Whether walk_xml gives None for a declared entity alone, the text being well-formed but for what entities hold.
+
+    Entities in running text are not expanded here; for those in attributes the parser's own limit holds,
+    and a text beyond that limit counts as refused.
+    """
+    declared = []
+    p = expat.ParserCreate("utf-8", namespace_separator=" ")
+    p.EntityDeclHandler = lambda *a: declared.append(True)
+    p.DefaultHandler = lambda _: None  # with it the parser leaves entities as they are
+    try:
+        p.Parse(text.encode("utf-8", "surrogatepass"), True)
+    except expat.ExpatError as e:
+        return bool(declared) and e.code == expat.errors.codes[expat.errors.XML_ERROR_AMPLIFICATION_LIMIT_BREACH]
+    return bool(declared)
+
+
+def refused_texts(df: DataFrame, doc: str, xml: str) -> DataFrame:
+    """(doc) once for each id with a text that is refused for its entities."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [d for d, text in zip(b["doc"].to_pylist(), b["xml"]) if refused_xml(text.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["doc"])
+
+    df = pick(df, doc, xml)
+    texts = df.select(df[doc].cast("long").alias("doc"), df[xml].alias("xml")).where("doc is not null")
+    return spread(texts.where(F.contains("xml", F.lit("<!ENTITY")))).mapInArrow(look, "doc long").distinct()
+
+
 def label_nodes(df: DataFrame, doc: str, xml: str, keep: list[str] | None = None) -> DataFrame:
     """The node table (doc, txt, pre, post, depth, tag, attrs, value) of every XML text.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import codebook_tables, copy_diff, orphan_refs, quality_profile, schema_drift
+from ..operators import codebook_tables, copy_diff, nested_records, orphan_refs, quality_profile, schema_drift
 from ..session import table
 
 RECORDS = "block_10_household_loan_records"
@@ -53,6 +53,11 @@ def p2_categories(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("doc").alias("codebook_id"), "var_id", F.col("value").alias("category"))
 
 
+def p2_refused(spark: SparkSession, d: str) -> DataFrame:
+    """Codebooks that p2_found leaves out, although well-formed, as they declare entities."""
+    return nested_records.refused_texts(table(spark, d, "ddi_codebooks"), "codebook_id", "ddi_xml").select(F.col("doc").alias("codebook_id"))
+
+
 def _profile_spec(spark: SparkSession, d: str) -> quality_profile.ProfileSpec:
     return quality_profile.ProfileSpec(quality_profile.codebook_bounds(table(spark, d, "codebook_vars"), LOAN_BLOCK, ["B10_q3", "Wgt1_strm"]))
 
@@ -109,7 +114,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return t.select("series_id", "fid", "round_no", "name", "variable", "type", "width", "unified_type", "unified_width")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_per_field, p1_ranges, p2_found, p2_files, p2_variables, p2_categories, p3_found, p3_profile, p3_shifts, p4_found, p4_report, p5_found, p5_per_change, p5_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_per_field, p1_ranges, p2_found, p2_files, p2_variables, p2_categories, p2_refused, p3_found, p3_profile, p3_shifts, p4_found, p4_report, p5_found, p5_per_change, p5_table)}
 
 # --- SQL ------------------------------------------------------------------------------------------
 

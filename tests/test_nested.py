@@ -2,7 +2,8 @@ import xml.etree.ElementTree as ET
 
 import pyarrow.parquet as pq
 from loomfield.operators.codebook_tables import codebook_links
-from loomfield.operators.nested_records import label_nodes, link_up, walk_xml
+from loomfield.operators.nested_records import label_nodes, link_up, refused_texts, walk_xml
+from loomfield.plans.general import QUERIES
 
 
 def brute(doc, xml):
@@ -61,3 +62,24 @@ def test_labels_mean_containment(spark):
     assert got == {2: (1, None), 4: (1, 3), 6: (None, None)}
     back = {r["pre"]: r["post"] for r in df.collect()}
     assert all((back[p] > back[q]) == (q in (2, 3, 4)) for p, q in ((1, 2), (1, 3), (1, 4), (1, 6)))
+
+
+def test_refused_texts_are_listed(spark, tmp_path):
+    bomb = "<!DOCTYPE a [<!ENTITY e0 'xxxxxxxxxx'>" + "".join(f"<!ENTITY e{i} '{f'&e{i - 1};' * 10}'>" for i in range(1, 10)) + "]>"
+    xs = [
+        (1, "<a><fileDscr ID='F1'/></a>"),
+        (2, "<!DOCTYPE a [<!ENTITY x 'y'>]><a><fileDscr ID='F1'>&x;</fileDscr></a>"),
+        (2, "<!DOCTYPE a [<!ENTITY x 'y'>]><a/>"),
+        (3, "<!DOCTYPE a [<!ENTITY x 'y'>]><a><fileDscr ID='F1'></a>"),
+        (4, "<!DOCTYPE a [<!ELEMENT a ANY>]><a/>"),
+        (5, "<a><![CDATA[<!ENTITY x 'y'>]]></a>"),
+        (6, bomb + "<a>&e9;</a>"),
+        (7, bomb + "<a k='&e9;'/>"),
+        (8, None),
+        (None, bomb + "<a/>"),
+    ]
+    df = spark.createDataFrame(xs, "codebook_id long, ddi_xml string")
+    assert sorted(r["doc"] for r in refused_texts(df, "codebook_id", "ddi_xml").collect()) == [2, 6, 7]
+    assert not {2, 6, 7} & {r["codebook_id"] for r in codebook_links(df).collect()}
+    df.write.parquet(f"{tmp_path}/ddi_codebooks.parquet")
+    assert sorted(r["codebook_id"] for r in QUERIES["p2_refused"](spark, str(tmp_path)).collect()) == [2, 6, 7]
