@@ -267,3 +267,19 @@ def bound_issues(vars_: DataFrame) -> DataFrame:
     inverted = vars_.where((lo > hi) & ~F.isnan(lo)).select(F.lit("rng_min").alias("column_name"), F.lit("inverted").alias("issue"), F.col("rec_no"))
     wide = vars_.where((hi >= F.pow(F.lit(10.0), F.col("ddi_width"))) & ~F.isnan(hi)).select(F.lit("rng_max").alias("column_name"), F.lit("too_wide").alias("issue"), F.col("rec_no"))
     return inverted.unionByName(wide)
+
+
+def bound_profiles(vars_: DataFrame) -> DataFrame:
+    """Per bound of a catalogue: rows, missing (null or NaN), inverted, too_wide, distinct, lowest, highest."""
+    vars_ = pick(vars_, "rng_min", "rng_max", "ddi_width")
+    lo, hi = F.nanvl("rng_min", F.lit(None)), F.nanvl("rng_max", F.lit(None))
+    n_if = lambda c: F.when(c, 1).otherwise(0)
+    cells = F.array(
+        F.struct(F.lit("rng_min").alias("column_name"), lo.alias("v"), n_if(lo > F.col("rng_max")).alias("inverted"), F.lit(0).alias("too_wide")),
+        F.struct(F.lit("rng_max").alias("column_name"), hi.alias("v"), F.lit(0).alias("inverted"), n_if(hi >= F.pow(F.lit(10.0), F.col("ddi_width"))).alias("too_wide")),
+    )
+    counts = vars_.select(F.inline(cells)).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("inverted").alias("inverted"), F.sum("too_wide").alias("too_wide"))
+    return counts.groupBy("column_name").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.sum("inverted").alias("inverted"), F.sum("too_wide").alias("too_wide"),
+        F.count("v").alias("distinct"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
+    )

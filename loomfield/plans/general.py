@@ -81,6 +81,11 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("load").alias("load_id"), F.col("col").alias("column_name"), F.col("rows").alias("n_rows"), "blank", F.col("pattern").alias("bad_pattern"), F.col("range").alias("out_of_range"), "valid", F.col("distinct").alias("n_distinct"), "lowest", "highest")
 
 
+def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
+    p = quality_profile.bound_profiles(table(spark, d, "ddi_variables"))
+    return p.select("column_name", F.col("rows").alias("n_rows"), "missing", "inverted", "too_wide", F.col("distinct").alias("n_distinct"), "lowest", "highest")
+
+
 def p3_shifts(spark: SparkSession, d: str) -> DataFrame:
     """The model's figures for each load against its forerunner; no SQL states them."""
     spec = _profile_spec(spark, d)
@@ -114,7 +119,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return t.select("series_id", "fid", "round_no", "name", "variable", "type", "width", "unified_type", "unified_width")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_per_field, p1_ranges, p2_found, p2_files, p2_variables, p2_categories, p2_refused, p3_found, p3_profile, p3_shifts, p4_found, p4_report, p5_found, p5_per_change, p5_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_per_field, p1_ranges, p2_found, p2_files, p2_variables, p2_categories, p2_refused, p3_found, p3_profile, p3_bounds, p3_shifts, p4_found, p4_report, p5_found, p5_per_change, p5_table)}
 
 # --- SQL ------------------------------------------------------------------------------------------
 
@@ -206,6 +211,10 @@ ORACLE = {
     "p1_per_field": f"SELECT diff, field, count(*) AS loans FROM ({_P1}) GROUP BY ALL",
     "p3_found": _P3,
     "p3_profile": f"WITH c AS ({_CLASSED}), {_PROFILE} SELECT load_id, col AS column_name, n_rows, blank, bad_pattern, out_of_range, valid, n_distinct, lowest, highest FROM p",
+    "p3_bounds": """WITH b AS (SELECT 'rng_min' AS column_name, CASE WHEN NOT isnan(rng_min) THEN rng_min END AS v, rng_min > rng_max AND NOT isnan(rng_min) AS inv, false AS wide FROM ddi_variables
+UNION ALL SELECT 'rng_max', CASE WHEN NOT isnan(rng_max) THEN rng_max END, false, rng_max >= pow(10, ddi_width) AND NOT isnan(rng_max) FROM ddi_variables)
+SELECT column_name, count(*) AS n_rows, count(*) FILTER (v IS NULL) AS missing, count(*) FILTER (inv) AS inverted, count(*) FILTER (wide) AS too_wide,
+  count(DISTINCT v) AS n_distinct, min(v) AS lowest, max(v) AS highest FROM b GROUP BY column_name""",
     "p4_found": f"{_ORPHANS} SELECT table_name, rec_no, kind FROM o",
     "p4_report": f"{_ORPHANS} SELECT table_name, coalesce(sub_round, '') AS sub_round, kind, count(*) AS orphans FROM o GROUP BY ALL",
     "p5_found": f"{_P5} SELECT * FROM ch",

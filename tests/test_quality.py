@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from loomfield.operators.quality_profile import ProfileSpec, bound_issues, cell_violations, classified, discrimination, load_issues, load_pairs, load_profiles, screen_auc, value_counts
+from loomfield.operators.quality_profile import ProfileSpec, bound_issues, bound_profiles, cell_violations, classified, discrimination, load_issues, load_pairs, load_profiles, screen_auc, value_counts
 
 SPEC = ProfileSpec({"x": (0.0, 1000.0), "w": (None, None)})
 S = "rec_no long, load_id string, office string, load_seq int, x string, w string"
@@ -74,3 +74,16 @@ def test_model_tells_which_column_changed(spark):
 def test_bounds(spark):
     df = spark.createDataFrame([(1, 5.0, 4.0, 3), (2, None, 100.0, 2), (3, 1.0, None, 2), (4, 0.0, 99.0, 2), (5, float("nan"), float("nan"), None)], "rec_no long, rng_min double, rng_max double, ddi_width int")
     assert sorted(tuple(r) for r in bound_issues(df).collect()) == [("rng_max", "too_wide", 2), ("rng_min", "inverted", 1)]
+
+
+def test_profiles_of_bounds(spark):
+    nan = float("nan")
+    rows = [(1, 0.0, 9.0, 1), (2, 0.0, 10.0, 1), (3, 5.0, 1.0, 2), (4, None, 99.0, 2), (5, None, None, 3), (6, nan, 7.0, None), (7, 3.0, nan, 1), (8, -2.0, 1e9, 3)]
+    df = spark.createDataFrame(rows, "rec_no long, rng_min double, rng_max double, ddi_width int")
+    got = {r["column_name"]: tuple(r)[1:] for r in bound_profiles(df).collect()}
+    assert set(got) == {"rng_min", "rng_max"}
+    assert got["rng_min"][:2] == (8, 3) and got["rng_min"][3:] == (0, 4, -2.0, 5.0)
+    assert got["rng_max"] == (8, 2, 0, 2, 6, 1.0, 1e9)
+    issues = [tuple(r) for r in bound_issues(df).collect()]
+    assert got["rng_min"][2] == sum(i == "inverted" for _, i, _ in issues) and got["rng_max"][3] == sum(i == "too_wide" for _, i, _ in issues)
+    assert bound_profiles(df.limit(0)).count() == 0
