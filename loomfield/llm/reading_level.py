@@ -13,19 +13,20 @@ posterior of its level on a grid; with posteriors fixed, each item gets its
 parameters from sums over all documents. Raters' labels tie the scale: they enter
 the posterior of labelled documents with an error rate per rater, estimated in
 the same rounds. Documents are read and cut into words once; the rounds run over
-stored counts. What tasks send each other is sums per item, and items are hashed
-to a fixed number, so parameters have a fixed size.
+stored counts. What tasks send each other is sums per item, keyed by the word or
+rater itself, so no two share parameters; these take some thirty bytes a
+distinct word, in the driver and in each worker.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,8 @@ from .wikitext import prose_sentences
 GRID = np.arange(1.0, 4.01, 0.5)
 K = len(GRID)
 CENTRED = GRID - GRID.mean()
-WORDS = 1 << 18
 LENGTHS = range(3, 16)
 N_LEN = len(LENGTHS)
-RATERS = 1 << 10
 
 # Frequent function words that tell the languages apart.
 FUNCTION_WORDS = {
@@ -51,10 +50,9 @@ LANGUAGES = [*FUNCTION_WORDS, "other"]
 # The languages of these that write nouns with a capital.
 NOUN_CAPITALS = frozenset({"de"})
 _FUNCTION = [frozenset(v.split()) for v in FUNCTION_WORDS.values()]
-LEN0 = WORDS
-TRIALS0 = LEN0 + len(LANGUAGES) * N_LEN
-RATER0 = TRIALS0 + len(LANGUAGES)
-N_ITEMS = RATER0 + RATERS
+# Items of fixed number: lengths per language, then trials per language.
+TRIALS0 = len(LANGUAGES) * N_LEN
+N_FIXED = TRIALS0 + len(LANGUAGES)
 
 
 @dataclass(frozen=True)
@@ -72,19 +70,21 @@ class LevelSpec:
 
 @dataclass
 class Params:
+    """kappa and beta of each of words; error of each rater."""
+
+    words: pa.Array
     kappa: np.ndarray
     beta: np.ndarray
-    seen: np.ndarray
     norm: np.ndarray
     length: np.ndarray
-    error: np.ndarray
+    error: dict[str, float]
 
 
 # --- counts of a document -----------------------------------------------------------------------
 
 
-def describe(text: str, hashes: dict[str, int], min_words: int) -> tuple | None:
-    """(prose words, language, trials, word items, their counts, counts of lengths); None for too little prose."""
+def describe(text: str, min_words: int) -> tuple | None:
+    """(prose words, language, trials, distinct words in one, their bytes, their counts, counts of lengths); None for too little prose."""
     sentences = prose_sentences(text)
     n = sum(map(len, sentences))
     if n < min_words:
@@ -94,38 +94,30 @@ def describe(text: str, hashes: dict[str, int], min_words: int) -> tuple | None:
     lang = int(np.argmax(marks)) if max(marks) > 0 else len(LANGUAGES) - 1
     if LANGUAGES[lang] in NOUN_CAPITALS:
         lows = Counter(w.lower() for s in sentences for w in s if w[0].isalpha())
-    by_item: Counter = Counter()
     longer = np.zeros(N_LEN, np.int64)
     for w, c in lows.items():
-        h = hashes.get(w)
-        if h is None:
-            h = hashes[w] = zlib.crc32(w.encode()) % WORDS
-        by_item[h] += c
         longer[: max(0, len(w) - LENGTHS[0])] += c
-    trials = sum(lows.values())
-    items = np.fromiter(by_item, np.int32, len(by_item))
-    return n, lang, trials, items.tobytes(), np.fromiter(by_item.values(), np.int32, len(by_item)).tobytes(), longer.astype(np.int32).tobytes()
+    words = [w.encode() for w in lows]
+    numbers = lambda v: np.fromiter(v, np.int32, len(words)).tobytes()
+    return n, lang, sum(lows.values()), b"".join(words), numbers(map(len, words)), numbers(lows.values()), longer.astype(np.int32).tobytes()
 
 
-_DOC = "doc_id long, n_words long, lang int, trials int, items binary, counts binary, longer binary"
+_DOC = "doc_id long, n_words long, lang int, trials int, words binary, sizes binary, counts binary, longer binary"
 _DOC_ARROW = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("lang", pa.int32()), ("trials", pa.int32()),
-    ("items", pa.binary()), ("counts", pa.binary()), ("longer", pa.binary()),
+    ("words", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("longer", pa.binary()),
 ])
 
 
 def described(docs: DataFrame, doc_id: str, text: str, spec: LevelSpec) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[str, int] = {}
         for b in batches:
             rows = []
             for d, t in zip(b["d"].to_pylist(), b["t"]):
-                if (x := describe(t.as_py(), hashes, spec.min_words)) is not None:
+                if (x := describe(t.as_py(), spec.min_words)) is not None:
                     rows.append((d, *x))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DOC_ARROW)], schema=_DOC_ARROW)
-            if len(hashes) > 1_000_000:
-                hashes.clear()
 
     docs = pick(docs, doc_id, text)
     slim = docs.select(docs[doc_id].cast("long").alias("d"), docs[text].alias("t")).where("d is not null and t is not null")
@@ -136,21 +128,23 @@ def described(docs: DataFrame, doc_id: str, text: str, spec: LevelSpec) -> DataF
 
 
 def _frame(b: pa.RecordBatch) -> tuple:
-    """Flat arrays of a batch: document of each item, item, count, counts of lengths, language, trials."""
-    items = [np.frombuffer(x, np.int32) for x in b["items"].to_pylist()]
-    sizes = np.fromiter(map(len, items), np.int64, len(items))
-    flat = np.concatenate(items) if items else np.zeros(0, np.int32)
+    """Flat arrays of a batch: document of each word, its place among the batch's words, count, counts of lengths, language, trials; those words."""
+    sizes = [np.frombuffer(x, np.int32) for x in b["sizes"].to_pylist()]
+    per_doc = np.fromiter(map(len, sizes), np.int64, len(sizes))
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+    flat = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(b"".join(b["words"].to_pylist()))).dictionary_encode()
     counts = np.concatenate([np.frombuffer(x, np.int32) for x in b["counts"].to_pylist()]).astype(float)
     longer = np.stack([np.frombuffer(x, np.int32) for x in b["longer"].to_pylist()]).astype(float)
-    return np.repeat(np.arange(len(items)), sizes), flat, counts, longer, b["lang"].to_numpy(), b["trials"].to_numpy().astype(float)
+    return np.repeat(np.arange(len(sizes)), per_doc), flat.indices.to_numpy(), counts, longer, b["lang"].to_numpy(), b["trials"].to_numpy().astype(float), flat.dictionary
 
 
 def text_loglik(p: Params, frame: tuple, spec: LevelSpec) -> np.ndarray:
     """Log-likelihood of each document's trials at each level of the grid."""
-    d, i, c, longer, lang, trials = frame
+    d, i, c, longer, lang, trials, own = frame
     n = len(trials)
-    use = p.seen[i]
-    d, i, c = d[use], i[use], c[use]
+    at = pc.fill_null(pc.index_in(own, value_set=p.words), -1).to_numpy(zero_copy_only=False)[i]
+    use = at >= 0
+    d, i, c = d[use], at[use], c[use]
     a, b = np.bincount(d, c * p.kappa[i], n), np.bincount(d, c * p.beta[i], n)
     total = np.bincount(d, c, n)
     words = a[:, None] + b[:, None] * CENTRED - total[:, None] * p.norm
@@ -164,48 +158,51 @@ def _normal(ll: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def label_loglik(labels: list, error: np.ndarray) -> np.ndarray:
-    """Of the labels (rater, level, times) of each document; a rater errs to near levels more than to far ones."""
+def label_loglik(labels: list, error: dict[str, float], usual: float) -> np.ndarray:
+    """Of the labels (rater, level, times) of each document; a rater errs to near levels more than to far ones, usual is the error of one not yet known."""
     out = np.zeros((len(labels), K))
     for d, row in enumerate(labels):
         for x in row or ():
-            e, far = error[x["rater"]], np.abs(GRID - x["level"])
+            e, far = error.get(x["rater"], usual), np.abs(GRID - x["level"])
             p = np.where(far < 0.26, 1 - e, np.where(far < 0.6, (1 - e) / 2, e / 2 * np.exp(1 - far)))
             out[d] += x["times"] * np.log(p)
     return out
 
 
-_SUMS = ", ".join(["item int", *[f"m{k} double" for k in range(K)]])
+_SUMS = ", ".join(["kind string", "item string", *[f"m{k} double" for k in range(K)]])
 
 
-def _sums(params: Params | None, error: np.ndarray, weight: float, spec: LevelSpec, labelled: bool):
-    """Per task: posterior-weighted counts of every item at every level."""
+def _sums(params: Params | None, error: dict[str, float], weight: float, spec: LevelSpec, labelled: bool):
+    """Per batch: posterior-weighted counts of every item at every level; of raters their errors and labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.zeros((N_ITEMS, K))
         for b in batches:
             if not b.num_rows:
                 continue
             frame = _frame(b)
-            d, i, c, longer, lang, trials = frame
+            d, i, c, longer, lang, trials, own = frame
             ll = text_loglik(params, frame, spec) if params is not None else np.zeros((len(trials), K))
             if labelled:
                 labels = b["labels"].to_pylist()
-                ll = ll + label_loglik(labels, error)
+                ll = ll + label_loglik(labels, error, spec.rater_error)
             post = _normal(ll) * weight
-            for k in range(K):
-                m[:WORDS, k] += np.bincount(i, c * post[d, k], WORDS)
+            words = np.stack([np.bincount(i, c * post[d, k], len(own)) for k in range(K)], 1)
+            fixed = np.zeros((N_FIXED, K))
             for g in np.unique(lang):
-                own = lang == g
-                m[LEN0 + g * N_LEN : LEN0 + (g + 1) * N_LEN] += longer[own].T @ post[own]
-                m[TRIALS0 + g] += trials[own] @ post[own]
+                of = lang == g
+                fixed[g * N_LEN : (g + 1) * N_LEN] = longer[of].T @ post[of]
+                fixed[TRIALS0 + g] = trials[of] @ post[of]
+            raters: dict[str, np.ndarray] = {}
             if labelled:
                 for row, p in zip(labels, post):
                     for x in row or ():
-                        m[RATER0 + x["rater"], 0] += x["times"] * (p @ np.minimum(np.abs(GRID - x["level"]), 1.0)) / weight
-                        m[RATER0 + x["rater"], 1] += x["times"]
-        at = np.flatnonzero(m.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(m[at, k]) for k in range(K)]], names=[c.split()[0] for c in _SUMS.split(", ")])
+                        r = raters.setdefault(x["rater"], np.zeros(K))
+                        r[0] += x["times"] * (p @ np.minimum(np.abs(GRID - x["level"]), 1.0)) / weight
+                        r[1] += x["times"]
+            m = np.concatenate([words, fixed, *[r[None] for r in raters.values()]])
+            kind = ["word"] * len(own) + ["fixed"] * N_FIXED + ["rater"] * len(raters)
+            item = pa.array(own.to_pylist() + [str(k) for k in range(N_FIXED)] + list(raters), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), item, *[pa.array(m[:, k]) for k in range(K)]], names=[c.split()[0] for c in _SUMS.split(", ")])
 
     return run
 
@@ -240,14 +237,14 @@ def fit_odds(m: np.ndarray, trials: np.ndarray, steps: int = 30) -> np.ndarray:
     return k0[:, None] + b0[:, None] * CENTRED
 
 
-def _estimate(sums: DataFrame, error: np.ndarray, spec: LevelSpec) -> Params:
-    """Item parameters from the sums; rows that reach the driver are bounded by the number of items."""
+def _estimate(sums: DataFrame, spec: LevelSpec) -> Params:
+    """Item parameters from the sums, fitted in the cluster; a row for each distinct word and rater reaches the driver."""
     cols = [f"m{k}" for k in range(K)]
-    total = work_table(sums.groupBy("item").agg(*[F.sum(c).alias(c) for c in cols]), "item-sums")
-    special = np.zeros((N_ITEMS - WORDS, K))
-    for r in total.where(F.col("item") >= WORDS).collect():
-        special[r["item"] - WORDS] = [r[c] for c in cols]
-    trials = special[TRIALS0 - WORDS : RATER0 - WORDS]
+    total = work_table(sums.groupBy("kind", "item").agg(*[F.sum(c).alias(c) for c in cols]), "item-sums")
+    fixed = np.zeros((N_FIXED, K))
+    for r in total.where("kind = 'fixed'").collect():
+        fixed[int(r["item"])] = [r[c] for c in cols]
+    trials = fixed[TRIALS0:]
     exposure = trials.sum(0) + 1e-9
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,16 +254,13 @@ def _estimate(sums: DataFrame, error: np.ndarray, spec: LevelSpec) -> Params:
                 kappa, beta = fit_rates(m, exposure, spec.ridge)
                 yield pa.RecordBatch.from_arrays([b["item"], pa.array(kappa), pa.array(beta)], names=["item", "kappa", "beta"])
 
-    words = total.where(F.col("item") < WORDS).mapInArrow(fit, "item int, kappa double, beta double").toArrow()
-    at = words["item"].to_numpy()
-    p = Params(np.zeros(WORDS), np.zeros(WORDS), np.zeros(WORDS, bool), np.zeros(K), np.zeros((len(LANGUAGES), N_LEN, K)), error)
-    p.kappa[at], p.beta[at], p.seen[at] = words["kappa"].to_numpy(), words["beta"].to_numpy(), True
-    if len(at):
-        p.norm = np.log(np.exp(p.kappa[at][:, None] + p.beta[at][:, None] * CENTRED).sum(0))
-    length = special[: TRIALS0 - WORDS]
-    p.length = fit_odds(length, np.repeat(trials, N_LEN, 0)).reshape(len(LANGUAGES), N_LEN, K)
-    raters = special[RATER0 - WORDS :]
-    p.error = np.clip((raters[:, 0] + 10 * spec.rater_error) / (raters[:, 1] + 10), 0.02, 0.6)
+    words = total.where("kind = 'word' and " + " + ".join(cols) + " > 0").select("item", *cols).mapInArrow(fit, "item string, kappa double, beta double").toArrow()
+    kappa, beta = words["kappa"].to_numpy(), words["beta"].to_numpy()
+    norm = np.log(np.exp(kappa[:, None] + beta[:, None] * CENTRED).sum(0)) if len(kappa) else np.zeros(K)
+    length = fit_odds(fixed[:TRIALS0], np.repeat(trials, N_LEN, 0)).reshape(len(LANGUAGES), N_LEN, K)
+    raters = total.where("kind = 'rater'").select("item", F.col("m0").alias("off"), F.col("m1").alias("n")).collect()
+    error = {r["item"]: float(np.clip((r["off"] + 10 * spec.rater_error) / (r["n"] + 10), 0.02, 0.6)) for r in raters}
+    p = Params(words["item"].cast(pa.large_string()).combine_chunks(), kappa, beta, norm, length, error)
     return p
 
 
@@ -285,7 +279,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     counts = described(docs, doc_id, text, spec)
     labels = pick(labels, doc_id, rater, level)
     marks = labels.select(
-        labels[doc_id].cast("long").alias("doc_id"), F.pmod(F.crc32(F.coalesce(labels[rater], F.lit("")).cast("binary")), F.lit(RATERS)).cast("int").alias("rater"), labels[level].cast("int").alias("level")
+        labels[doc_id].cast("long").alias("doc_id"), F.coalesce(labels[rater].cast("string"), F.lit("")).alias("rater"), labels[level].cast("int").alias("level")
     ).where("doc_id is not null and level between 1 and 4")
     marks = marks.groupBy("doc_id", "rater", "level").agg(F.count(F.lit(1)).cast("int").alias("times"))
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("rater", "level", "times")).alias("labels"))
@@ -294,16 +288,15 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     lang = F.element_at(langs, F.col("lang") + 1).alias("lang")
     if known.isEmpty():
         return counts.select("doc_id", F.lit(None).cast("long").alias("level"), F.lit(None).cast("double").alias("score"), "n_words", lang)
-    error = np.full(RATERS, spec.rater_error)
-    params = _estimate(known.mapInArrow(_sums(None, error, 1.0, spec, True), _SUMS), error, spec)
+    params = _estimate(known.mapInArrow(_sums(None, {}, 1.0, spec, True), _SUMS), spec)
     for _ in range(spec.rounds - 1):
-        held = spark.sparkContext.broadcast(params)  # of fixed size, whatever the corpus
+        held = spark.sparkContext.broadcast(params)  # grows with the distinct words, not with the texts
 
         def part(labelled: bool, weight: float, held=held):
             return lambda it: _sums(held.value, held.value.error, weight, spec, labelled)(it)
 
         sums = known.mapInArrow(part(True, 1.0), _SUMS).unionByName(counts.mapInArrow(part(False, spec.unlabelled), _SUMS))
-        params = _estimate(sums, params.error, spec)
+        params = _estimate(sums, spec)
     held = spark.sparkContext.broadcast(params)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -91,7 +92,21 @@ def test_runs_before_a_line():
 
 
 def test_german_nouns_are_trials():
-    n, lang, trials, *_ = describe("Der Hund und die Katze von Hamburg sind bei der Verfassungsgerichtsbarkeit. " * 10, {}, 100)
+    n, lang, trials, *_ = describe("Der Hund und die Katze von Hamburg sind bei der Verfassungsgerichtsbarkeit. " * 10, 100)
     assert (n, LANGUAGES[lang], trials) == (110, "de", 110)
-    n, lang, trials, *_ = describe("The dog and the cat of Boston are with a jurisdiction. " * 10, {}, 100)
+    n, lang, trials, *_ = describe("The dog and the cat of Boston are with a jurisdiction. " * 10, 100)
     assert (n, LANGUAGES[lang], trials) == (110, "en", 90)
+
+
+def test_words_of_one_checksum_are_two_items(spark):
+    r, seen = random.Random(1), {}
+    while True:
+        a = "".join(r.choice("bcdfgklmnprst") for _ in range(7))
+        b = seen.setdefault(zlib.crc32(a.encode()) % 2**18, a)
+        if a != b:
+            break
+    text = lambda w: f"The {w} and the {w} of this {w} in that {w} with an old house for them. " * 20
+    docs = spark.createDataFrame([(i, text((a, b)[i % 2])) for i in range(60)], D)
+    labels = spark.createDataFrame([(i, "r", (1, 4)[i % 2]) for i in range(40)], L)
+    got = {x["doc_id"]: x["score"] for x in reading_levels(docs, labels).collect()}
+    assert len(got) == 60 and max(got[i] for i in range(40, 60, 2)) + 1 < min(got[i] for i in range(41, 60, 2))
