@@ -28,7 +28,7 @@ def _parser() -> argparse.ArgumentParser:
     q.add_argument("--formats", "-f", default="parquet", help=f"comma-separated, or all: {', '.join(FORMATS)}")
     q.add_argument("--year", default="unknown")
     q.add_argument("--quiet", "-q", action="store_true")
-    q.add_argument("--parts", action="store_true", help="folders of parts instead of single files")
+    q.add_argument("--single", action="store_true", help="single files instead of folders of parts")
     q = sub.add_parser("validate", help="compare converted tables with exports")
     q.add_argument("parquet_dir")
     q.add_argument("export_dir")
@@ -36,6 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     q.add_argument("--survey", "-s", default="hces")
     q.add_argument("--formats", "-f", default="parquet")
     q.add_argument("--root", default="data")
+    q.add_argument("--single", action="store_true", help="single files instead of folders of parts")
     sub.add_parser("formats", help="list the formats")
     return p
 
@@ -68,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "info":
             show_info(*pair)
             return 0
-        report = convert_container(*pair, args.output, _formats(args.formats), args.year, not args.quiet, single=not args.parts)
+        report = convert_container(*pair, args.output, _formats(args.formats), args.year, not args.quiet, single=args.single)
         return 1 if report["errors"] else 0
     if args.command == "validate":
         got = compare_with_exports(args.parquet_dir, args.export_dir)
@@ -78,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1 if got["failed"] else 0
     if args.command == "batch":
         try:
-            results = convert_folder(args.root, args.survey, _formats(args.formats))
+            results = convert_folder(args.root, args.survey, _formats(args.formats), single=args.single)
         except FileNotFoundError as e:
             print(e)
             return 1

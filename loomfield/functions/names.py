@@ -43,12 +43,20 @@ def quoted(c: Column, sep: str, alone: bool = False) -> Column:
 def double_text(c: Column, dcml: int = 6) -> Column:
     """A double as text: whole numbers exactly, others with at most dcml (six or more) decimals less trailing zeros.
 
-    '' for null, NaN and what counts as missing. All in the JVM, whose formatting
-    rounds right for sizes below nine billion; fractions beyond that and whole
-    numbers beyond a long give null rather than a wrong digit, for them
-    sources.container.double_text is exact.
+    '' for null, NaN and what counts as missing. All in the JVM. The fraction
+    is split off first, which is exact, since formatting a large number with a
+    fraction would show its shortest digits and not its value. Sizes of 1e38
+    and more give null, for them sources.container.double_text is exact.
     """
     missing = c.isNull() | F.isnan(c) | (c >= F.lit(1.7976931348623157e308) * 0.99)
-    fixed = F.replace(F.format_number(c, max(dcml, 6)), F.lit(","), F.lit(""))
-    part = F.when(F.abs(c) < 9e9, F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit(".")))
-    return F.when(missing, "").when(c == F.rint(c), c.try_cast("bigint").cast("string")).otherwise(part)
+    size, step = F.abs(c), F.lit(float(1 << 60))
+    part = size % F.lit(1.0)
+    fixed = F.format_number(part, max(dcml, 6))  # 1.000000 where the fraction is rounded up
+    whole = (size - part).try_cast("bigint") + F.when(F.left(fixed, F.lit(1)) == "1", 1).otherwise(0)
+    digits = F.rtrim(F.substring(fixed, 3, max(dcml, 6)), F.lit("0"))
+    text = F.concat(whole.cast("string"), F.when(digits == "", "").otherwise(F.concat(F.lit("."), digits)))
+    high = F.when(size < 1e38, F.floor(size / step)).cast("bigint")
+    low = (size - high.cast("double") * step).try_cast("bigint")
+    big = (high.cast("decimal(19,0)") * F.lit(str(1 << 60)).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("string")
+    sign = F.when((c < 0), "-").otherwise("")
+    return F.when(missing, "").otherwise(F.concat(sign, F.when(size < float(1 << 62), text).otherwise(big)))

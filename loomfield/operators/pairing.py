@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,15 +24,24 @@ def best_export(stem: str, exports: list[Path]) -> Path | None:
     return exports[-best[1]] if best[0] > 0 else None
 
 
+def _parts_of(c: Column) -> Column:
+    """All distinct substrings of a name; of a name of n letters at most n (n + 1) / 2."""
+    n = F.char_length(c)
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k)))
+    return F.array_distinct(F.flatten(cut))
+
+
 def pair_names(stems: DataFrame, stem: str, exports: DataFrame, export: str) -> DataFrame:
     """(stem, export, score) for each stem with a match, over tables of names.
 
-    Overlap is a theta condition, so it runs as a nested loop; the exports are
-    a stated list of names of one folder and are sent to the stems.
+    One name lies in another if it equals one of the other's substrings, so
+    both directions are joins on equality and no pair of unlike names is
+    formed. Null names and names without letters match nothing.
     """
-    a = stems.select(F.col(stem).alias("stem")).distinct().withColumn("a", F.replace(F.lower("stem"), F.lit("_"), F.lit("")))
-    b = exports.select(F.col(export).alias("export")).distinct().withColumn("b", F.translate(F.lower("export"), "-_ ", ""))
-    both = a.join(b, F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
-    scored = both.withColumn("score", F.least(F.length("a"), F.length("b")).cast("long")).where("score > 0")
-    first = F.row_number().over(Window.partitionBy("stem").orderBy(F.desc("score"), "export"))
-    return scored.withColumn("rn", first).where("rn = 1").select("stem", "export", "score")
+    a = stems.select(F.col(stem).alias("stem")).distinct().withColumn("a", F.replace(F.lower("stem"), F.lit("_"), F.lit(""))).where("a != ''")
+    b = exports.select(F.col(export).alias("export")).distinct().withColumn("b", F.translate(F.lower("export"), "-_ ", "")).where("b != ''")
+    export_in_stem = a.select("stem", "a", F.explode(_parts_of(F.col("a"))).alias("b")).join(b, "b")
+    stem_in_export = b.select("export", "b", F.explode(_parts_of(F.col("b"))).alias("a")).join(a, "a")
+    both = export_in_stem.select("stem", "export", F.char_length("b").alias("score")).unionByName(stem_in_export.select("stem", "export", F.char_length("a").alias("score")))
+    best = both.groupBy("stem").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("export").alias("e"))).alias("best"))
+    return best.select("stem", F.col("best.e").alias("export"), (-F.col("best.s")).cast("long").alias("score"))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..convert import compare_with_exports
 from ..functions import names
 from ..functions.text import cell
 from ..operators import bag_compare, pairing, table_checks
-from ..session import local_path, shared_dir, table
+from ..session import file_url, local_path, once, shared_dir, table
 from ..sources import sinks
 from ..sources.codebook import Variable, codebook_frames, read_codebook
 from ..sources.container import block_layout, read_block
@@ -33,7 +30,7 @@ _ORDER = {"nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_
 
 
 def _written(spark: SparkSession, d: str, name: str) -> tuple[str, str, str]:
-    return write_container(_prepared(table(spark, d, name)), _ORDER[name], name)
+    return once(spark, (d, "written", name), lambda: write_container(_prepared(table(spark, d, name)), _ORDER[name], name))
 
 
 def _roundtrip(name: str):
@@ -47,8 +44,7 @@ def _roundtrip(name: str):
 
 def roundtrip_loans(spark: SparkSession, d: str) -> DataFrame:
     """A dirty table of texts: nulls, blanks and padded cells all come back stripped."""
-    df = table(spark, d, RECORDS).select("rec_no", "Hhold_key", "B10_q1", *LOAN_FIELDS, "sub_round", "office")
-    path, book, fid = write_container(df, ["rec_no"], "Block-10")
+    path, book, fid = write_container(_prepared(table(spark, d, RECORDS)), ["rec_no"], "Block-10")
     return read_block(spark, path, fid, book)
 
 
@@ -84,73 +80,6 @@ def layout_scan(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, encoding string, width int, col_offset long")
 
 
-# --- layout ---------------------------------------------------------------------------------------------
-
-
-def width_by_range(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes a whole-number column needs for its range."""
-    df = table(spark, d, "lineitem")
-    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    one = df.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), (F.max(c) - F.min(c)).cast("long").alias("span")) for c in cols]).alias("x"))
-    bits = F.length(F.bin(F.greatest(F.col("span"), F.lit(1))))
-    return one.select(F.inline("x")).select("column_name", "span", F.ceil(bits / 8).cast("long").alias("bytes"))
-
-
-def column_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Where each column of a block begins: running sum of width times records."""
-    v = table(spark, d, "codebook_vars")
-    w = Window.partitionBy("fid").orderBy("ddi_pos").rowsBetween(Window.unboundedPreceding, -1)
-    return v.select("fid", "name", F.coalesce(F.sum(F.col("ddi_width").cast("long") * 1000).over(w), F.lit(0)).alias("col_offset"))
-
-
-def type_histogram(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "ddi_variables")
-    return v.groupBy("series_id", "fid", F.coalesce("type", F.lit("")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def encoding_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Columns per storage, by what the codebook says of them."""
-    kind = F.when(F.col("type") == "character", "char").when(F.col("dcml") > 0, "double").otherwise("offset")
-    v = table(spark, d, "ddi_variables").withColumn("type", F.coalesce("type", F.lit("character"))).withColumn("kind", kind)
-    return v.groupBy("delivery_id", "fid").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("char", "offset", "double")])
-
-
-def single_owner_names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ddi_variables").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("series_id").alias("series_id")).where("n = 1").select("name", "series_id")
-
-
-def block_totals(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "codebook_vars").groupBy("fid", "block_name").agg(F.count(F.lit(1)).alias("variables"), F.sum("ddi_width").alias("record_width"))
-
-
-def widest_first(spark: SparkSession, d: str) -> DataFrame:
-    """The ten widest variables; the number is the feature."""
-    v = table(spark, d, "codebook_vars").orderBy(F.desc("ddi_width"), "fid", "ddi_pos").limit(10)
-    return v.select("fid", "ddi_pos", "name", "ddi_width")
-
-
-def explode_files(spark: SparkSession, d: str) -> DataFrame:
-    """A variable row per listed file that exists."""
-    v = table(spark, d, "codebook_vars")
-    lists = v.groupBy("name").agg(F.concat_ws(" ", F.sort_array(F.collect_set("fid"))).alias("files")).withColumn("files", F.concat("files", F.lit("  F9")))
-    one = lists.select("name", F.explode(F.split("files", r"\s+")).alias("fid"))
-    return one.join(v.select("fid").distinct(), "fid", "left_semi").select("name", "fid")
-
-
-def households_not_located(spark: SparkSession, d: str) -> DataFrame:
-    """Households that no person row belongs to; both keys as cells."""
-    h = table(spark, d, HOUSEHOLDS).select("rec_no", cell(F.col("Hhold_key")).alias("key"))
-    p = table(spark, d, PERSONS).select(cell(F.col("Hhold_key")).alias("key")).distinct()  # a hot key moves once per task
-    return h.join(p, "key", "left_anti").select("rec_no", "key")
-
-
-def label_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of a table's columns, the name where the codebook has none."""
-    cols = spark.createDataFrame([(c,) for c in table(spark, d, RECORDS).columns], "name string")
-    labels = table(spark, d, "codebook_vars").where("fid = 'F2'").select("name", "label")
-    return cols.join(labels, "name", "left").select("name", F.coalesce("label", "name").alias("label"))
-
-
 # --- texts --------------------------------------------------------------------------------------------------
 
 
@@ -166,22 +95,17 @@ def stata_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", names.stata_name_col(F.col("page_title")).alias("stata"), F.left(F.col("page_title"), F.lit(80)).alias("label"))
 
 
-def uri_tails(spark: SparkSession, d: str) -> DataFrame:
-    """Block number and name from the ends of names."""
-    v = table(spark, d, "ddi_variables")
-    return v.select("rec_no", F.coalesce(F.try_to_number(F.nullif(F.regexp_replace("name", r"\D", ""), F.lit("")), F.lit("999999999999")).cast("long"), F.lit(0).cast("long")).alias("number"), F.element_at(F.split("name", "_"), -1).alias("tail"))
-
-
-_CUSTOMER_WIDTHS = {"c_custkey": 10, "c_name": 20, "c_nationkey": 13, "c_mktsegment": 14}
+_CUSTOMER_WIDTHS = {"c_custkey": 10, "c_name": 20, "c_nationkey": 13, "c_acctbal": 9, "c_mktsegment": 14}
 
 
 def fwf_lines(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "customer").select(*_CUSTOMER_WIDTHS)
+    df = table(spark, d, "customer")
+    df = df.select(*[names.double_text(F.col(c)).alias(c) if t == "double" else c for c, t in df.dtypes])
     return sinks.fixed_lines(df, _CUSTOMER_WIDTHS)
 
 
 def csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.separated_lines(table(spark, d, "documents").select("doc_id", "page_title", "editor", "edit_note", "text"), ",")
+    return sinks.separated_lines(_prepared(table(spark, d, "documents")), ",")
 
 
 def tsv_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +113,7 @@ def tsv_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jsonl_lines(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.json_lines(table(spark, d, RECORDS).select("rec_no", "Hhold_key", *LOAN_FIELDS))
+    return sinks.json_lines(_prepared(table(spark, d, RECORDS)))
 
 
 # --- checks and comparisons -----------------------------------------------------------------------------------
@@ -240,34 +164,22 @@ def pair_exports(spark: SparkSession, d: str) -> DataFrame:
     return pairing.pair_names(stems, "stem", exports, "export")
 
 
-def validate_export(spark: SparkSession, d: str) -> DataFrame:
-    """A converted table against its export, end to end: files written, paired, read, compared."""
-    folder = Path(local_path(shared_dir(spark)), "validate", uuid.uuid4().hex)
-    os.makedirs(folder / "parquet"), os.makedirs(folder / "exports")
-    df = table(spark, d, HOUSEHOLDS).select("Hhold_key", "State_cd", "B1_q4", "B1_q7", "B1_q9", "B1_q12", "Wgt1_strm", "sub_round")
-    df = df.select(*[cell(F.col(c)).alias(c) for c in df.columns])
-    sinks.write_table(df, str(folder / "parquet"), HOUSEHOLDS, ["parquet"])
-    sinks._write_lines(sinks.separated_lines(df.repartition(3), "\t"), str(folder / "exports" / "Block-1-3-Household-records.txt"), True, None)
-    got = compare_with_exports(str(folder / "parquet"), str(folder / "exports"), verbose=False, spark=spark)
-    rows = [(stem, c["check"], c["passed"], int(c.get("parquet", 0)), int(c.get("export", 0))) for stem, b in got["blocks"].items() for c in b["checks"]]
-    return spark.createDataFrame(rows, "block_name string, check_name string, passed boolean, n_parquet long, n_export long")
-
 
 def fwf_file(spark: SparkSession, d: str) -> DataFrame:
     """The fixed-width sink as a file, read back as lines with the header first."""
     folder = f"{local_path(shared_dir(spark))}/fwf/{uuid.uuid4().hex}"
     df = table(spark, d, "supplier").select("s_suppkey", "s_name")
-    got = sinks.write_table(df, folder, "supplier", ["fwf"], [(Variable("s_suppkey", ddi_width=6), "offset"), (Variable("s_name", ddi_width=25), "char")])
-    return spark.read.text("file://" + got["fwf"]["path"])
+    got = sinks.write_table(df, folder, "supplier", ["fwf"], [(Variable("s_suppkey", ddi_width=6), "offset"), (Variable("s_name", ddi_width=25), "char")], single=True)
+    return spark.read.text(file_url(got["fwf"]["path"]))
 
 
 _ROUNDTRIPS = [_roundtrip(n) for n in ("nation", "customer", "supplier", "part", "orders", "lineitem")]
 QUERIES = {
     f.__name__: f
     for f in (
-        *_ROUNDTRIPS, roundtrip_loans, typed_lineitem, pruned_lineitem, record_order, codebook_scan, layout_scan, width_by_range, column_offsets, type_histogram, encoding_counts, single_owner_names,
-        block_totals, widest_first, explode_files, households_not_located, label_lookup, double_text, safe_names, stata_names, uri_tails, fwf_lines, csv_lines, tsv_lines, jsonl_lines,
-        missing_columns, row_column_counts, bag_diff, bag_except, bag_equal, pair_exports, validate_export, fwf_file,
+        *_ROUNDTRIPS, roundtrip_loans, typed_lineitem, pruned_lineitem, record_order, codebook_scan, layout_scan,
+        double_text, safe_names, stata_names, fwf_lines, csv_lines, tsv_lines, jsonl_lines,
+        missing_columns, row_column_counts, bag_diff, bag_except, bag_equal, pair_exports, fwf_file,
     )
 }
 
@@ -306,7 +218,7 @@ def _csv(c: str, sep: str) -> str:
 
 def _lines(cols: list[str], sep: str, t: str) -> str:
     glue = "," if sep == "," else "chr(9)"
-    body = (f" || {repr(sep) if sep == ',' else glue} || ").join("(" + _csv(f"coalesce(CAST({c} AS VARCHAR), '')", "," if sep == "," else "\\t") + ")" for c in cols)
+    body = (f" || {repr(sep) if sep == ',' else glue} || ").join("(" + _csv(_time(c) if c.endswith(("_ts", "_at")) else f"coalesce(CAST({c} AS VARCHAR), '')", "," if sep == "," else "\\t") + ")" for c in cols)
     return f"SELECT {body} AS value FROM {t}"
 
 
@@ -314,7 +226,8 @@ _STRIPPED = ", ".join(f"{_cell(c)} AS {c}" for c in ("Hhold_key", "B10_q1", *LOA
 _NAMES = ", ".join(("Hhold_key", "B10_q1", *LOAN_FIELDS))
 _COUNTS = f"SELECT {_NAMES}, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b FROM (SELECT {_STRIPPED}, 1 AS a, 0 AS b FROM {RECORDS} UNION ALL SELECT {_STRIPPED}, 0, 1 FROM {EXPORT}) GROUP BY ALL"
 _PERSON_COLS = ["rec_no", "Hhold_key", *[f"B41_q{i}" for i in range(1, 10)], "Wgt1_strm", "sub_round", "loaded_at"]
-_JSON_COLS = ("rec_no", "Hhold_key", *LOAN_FIELDS)
+_RECORD_COLS = {c: _cell for c in ("Hhold_key", "B10_q1", *LOAN_FIELDS, "sub_round", "office", "load_id")} | {"load_seq": _int, "loaded_at": _time}
+_RECORD_ORDER = ["rec_no", "Hhold_key", *[f"B10_q{i}" for i in range(1, 7)], "Wgt1_strm", "sub_round", "office", "load_id", "load_seq", "loaded_at"]
 
 def _fact(i: int, c: str, kind) -> str:
     if kind is _int:
@@ -328,31 +241,21 @@ def _fact(i: int, c: str, kind) -> str:
 _FACTS = " UNION ALL ".join(_fact(i, c, kind) for i, (c, kind) in enumerate(_COLS["lineitem"].items()))
 
 ORACLE = {f"roundtrip_{t}": _roundtrip_sql(t) for t in _COLS} | {
-    "roundtrip_loans": f"SELECT CAST(rec_no AS VARCHAR) AS rec_no, {', '.join(f'{_cell(c)} AS {c}' for c in ('Hhold_key', 'B10_q1', *LOAN_FIELDS, 'sub_round', 'office'))} FROM {RECORDS}",
+    "roundtrip_loans": f"SELECT CAST(rec_no AS VARCHAR) AS rec_no, {', '.join(f'{f(c)} AS {c}' for c, f in _RECORD_COLS.items())} FROM {RECORDS}",
     "typed_lineitem": f"SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, {_time('l_shipdate')} AS l_shipdate FROM lineitem",
     "pruned_lineitem": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ALL",
     "record_order": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rec, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM orders",
     "codebook_scan": f"SELECT ddi_pos, name, type, ddi_width, rng_min, rng_max FROM ({_FACTS})",
     "layout_scan": f"""SELECT name, encoding, width, CAST(coalesce(sum(width * n) OVER (ORDER BY ddi_pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS col_offset
       FROM (SELECT name, ddi_pos, n, encoding, CAST(CASE encoding WHEN 'char' THEN ddi_width WHEN 'double' THEN 8 ELSE greatest(1, ceil(length(bin(CAST(rng_max - rng_min AS BIGINT))) / 8.0)) END AS INTEGER) AS width FROM ({_FACTS}))""",
-    "width_by_range": " UNION ALL ".join(f"SELECT '{c}' AS column_name, span, greatest(1, CAST(ceil(length(bin(span)) / 8.0) AS BIGINT)) AS bytes FROM (SELECT greatest(CAST(max({c}) - min({c}) AS BIGINT), 0) AS span FROM lineitem)" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")),
-    "column_offsets": "SELECT fid, name, CAST(coalesce(sum(ddi_width * 1000) OVER (PARTITION BY fid ORDER BY ddi_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS col_offset FROM codebook_vars",
-    "type_histogram": "SELECT series_id, fid, coalesce(type, '') AS type, count(*) AS n FROM ddi_variables GROUP BY ALL",
-    "encoding_counts": "SELECT delivery_id, fid, count(*) FILTER (coalesce(type, 'character') = 'character') AS n_char, count(*) FILTER (type <> 'character' AND NOT coalesce(dcml > 0, false)) AS n_offset, count(*) FILTER (type <> 'character' AND dcml > 0) AS n_double FROM ddi_variables GROUP BY ALL",
-    "single_owner_names": "SELECT name, min(series_id) AS series_id FROM ddi_variables GROUP BY name HAVING count(*) = 1",
-    "block_totals": "SELECT fid, block_name, count(*) AS variables, CAST(sum(ddi_width) AS BIGINT) AS record_width FROM codebook_vars GROUP BY ALL",
-    "widest_first": "SELECT fid, ddi_pos, name, ddi_width FROM codebook_vars ORDER BY ddi_width DESC, fid, ddi_pos LIMIT 10",
-    "explode_files": "WITH l AS (SELECT name, string_agg(DISTINCT fid, ' ') || '  F9' AS files FROM codebook_vars GROUP BY name), e AS (SELECT name, unnest(regexp_split_to_array(files, '\\s+')) AS fid FROM l) SELECT name, fid FROM e WHERE fid IN (SELECT fid FROM codebook_vars)",
-    "households_not_located": f"SELECT rec_no, {_cell('Hhold_key')} AS key FROM {HOUSEHOLDS} WHERE {_cell('Hhold_key')} NOT IN (SELECT {_cell('Hhold_key')} FROM {PERSONS})",
-    "label_lookup": f"SELECT n.name, coalesce(c.label, n.name) AS label FROM (SELECT column_name AS name FROM (DESCRIBE {RECORDS})) n LEFT JOIN (SELECT name, label FROM codebook_vars WHERE fid = 'F2') c ON c.name = n.name",
     "double_text": f"SELECT l_orderkey, l_linenumber, {_dbl('l_extendedprice')} AS price, {_dbl('l_discount')} AS discount FROM lineitem",
     "safe_names": "SELECT doc_id, lower(trim(regexp_replace(page_title, '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS safe FROM documents",
     "stata_names": "SELECT doc_id, left(regexp_replace(page_title, '[^a-zA-Z0-9_]', '_', 'g'), 32) AS stata, left(page_title, 80) AS label FROM documents",
-    "uri_tails": "SELECT rec_no, coalesce(TRY_CAST(regexp_replace(name, '[^0-9]', '', 'g') AS BIGINT), 0) AS number, string_split(name, '_')[-1] AS tail FROM ddi_variables",
-    "fwf_lines": "SELECT rtrim(" + " || ".join(f"(v{i} || repeat(' ', greatest(0, {w} - length(v{i}))))" for i, w in enumerate(_CUSTOMER_WIDTHS.values())) + ") AS value FROM (SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS v{i}" for i, c in enumerate(_CUSTOMER_WIDTHS)) + " FROM customer)",
-    "csv_lines": _lines(["doc_id", "page_title", "editor", "edit_note", "text"], ",", "documents"),
+
+    "fwf_lines": "SELECT rtrim(" + " || ".join(f"(v{i} || repeat(' ', greatest(0, {w} - length(v{i}))))" for i, w in enumerate(_CUSTOMER_WIDTHS.values())) + ") AS value FROM (SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS v{i}" for i, c in enumerate(_CUSTOMER_WIDTHS)).replace("coalesce(CAST(c_acctbal AS VARCHAR), '')", _dbl("c_acctbal")) + " FROM customer)",
+    "csv_lines": _lines(["doc_id", "page_id", "page_title", "parent_doc_id", "rev_ts", "fetched_at", "editor", "edit_note", "lang", "source", "text", "n_chars"], ",", "documents"),
     "tsv_lines": _lines(["line_no", "Hhold_key", "B10_q1", *LOAN_FIELDS], "\t", EXPORT),
-    "jsonl_lines": "SELECT CAST(to_json(struct_pack(" + ", ".join(f"{c} := coalesce(CAST({c} AS VARCHAR), '')" for c in _JSON_COLS) + f")) AS VARCHAR) AS value FROM {RECORDS}",
+    "jsonl_lines": "SELECT CAST(to_json(struct_pack(" + ", ".join(f"{c} := {_time(c) if c == 'loaded_at' else _int(c)}" for c in _RECORD_ORDER) + f")) AS VARCHAR) AS value FROM {RECORDS}",
     "missing_columns": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(nullif(CAST({c} AS VARCHAR), '')) AS filled, count(*) > 10 AND count(DISTINCT coalesce(CAST({c} AS VARCHAR), '')) <= 1 AS \"constant\" FROM {PERSONS}" for c in _PERSON_COLS),
     "row_column_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns" for t in (HOUSEHOLDS, PERSONS, RECORDS, EXPORT)),
     "bag_diff": f"SELECT * FROM ({_COUNTS}) WHERE n_a <> n_b",
@@ -362,7 +265,6 @@ ORACLE = {f"roundtrip_{t}": _roundtrip_sql(t) for t in _COLS} | {
       j AS (SELECT stem, export, replace(lower(stem), '_', '') AS a, replace(replace(replace(lower(export), '-', ''), '_', ''), ' ', '') AS b FROM s, e),
       k AS (SELECT stem, export, least(length(a), length(b)) AS score, row_number() OVER (PARTITION BY stem ORDER BY least(length(a), length(b)) DESC, export) AS rn FROM j WHERE contains(a, b) OR contains(b, a))
       SELECT stem, export, score FROM k WHERE rn = 1 AND score > 0""",
-    "validate_export": f"""WITH n AS (SELECT count(*) AS n FROM {HOUSEHOLDS}) SELECT '{HOUSEHOLDS}' AS block_name, 'column_count' AS check_name, true AS passed, 8::BIGINT AS n_parquet, 8::BIGINT AS n_export
-      UNION ALL SELECT '{HOUSEHOLDS}', 'row_count', true, n, n FROM n UNION ALL SELECT '{HOUSEHOLDS}', 'value_match', true, 0, 0""",
+
     "fwf_file": "SELECT rtrim(rpad('s_suppkey', 11, ' ') || 's_name') AS value UNION ALL SELECT rtrim(CAST(s_suppkey AS VARCHAR) || repeat(' ', greatest(0, 11 - length(CAST(s_suppkey AS VARCHAR)))) || s_name) FROM supplier",
 }

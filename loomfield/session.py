@@ -7,7 +7,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 _FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _WORK: dict[str, list[str]] = {}
+_MADE: dict[tuple, object] = {}
 
 
 def get_spark(app: str = "loomfield", master: str | None = None, **conf: str) -> SparkSession:
@@ -66,6 +69,14 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in dict.fromkeys(columns)])
 
 
+def once(spark: SparkSession, key: tuple, make: Callable):
+    """What make gives, made once per application; for files that several queries read."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _MADE:
+        _MADE[full] = make()
+    return _MADE[full]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
@@ -126,5 +137,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def local_path(path: str) -> str:
-    """A file: URL or plain path as an operating system path."""
-    return path[7:] if path.startswith("file://") else os.fspath(path)
+    """A file: URL or plain path as an operating system path; other schemes are refused, since files are opened by hand here."""
+    text = os.fspath(path)
+    if "://" in text or text.startswith("file:"):
+        url = urlparse(text)
+        if url.scheme != "file" or url.netloc not in ("", "localhost"):
+            raise ValueError(f"{text}: only local or mounted file systems are read and written here")
+        return unquote(url.path)
+    return text
+
+
+def file_url(path: str) -> str:
+    """The URL by which Spark reads or writes a local path."""
+    return "file://" + os.path.abspath(local_path(path))

@@ -83,6 +83,23 @@ def _texts(values, missing: np.ndarray) -> pa.Array:
     return pc.if_else(pa.array(missing), "", text)
 
 
+def _double_texts(x: np.ndarray, missing: np.ndarray, dcml: int) -> pa.Array:
+    """The texts of double_text for a whole column: each distinct number is written once."""
+    x = np.where(missing, 0.0, x)
+    values, place = np.unique(x, return_inverse=True)
+    whole = (values == np.trunc(values)) & (np.abs(values) < 2.0**53)
+    out = np.empty(len(values), object)
+    out[whole] = values[whole].astype(np.int64).astype(str)
+    part = ~whole & (values != np.trunc(values))
+    if part.any():
+        fixed = pa.array(np.char.mod(f"%.{max(dcml, 6)}f", values[part]))
+        out[part] = pc.utf8_rtrim(pc.utf8_rtrim(fixed, characters="0"), characters=".").to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(~whole & ~part):
+        out[i] = double_text(float(values[i]), dcml)
+    texts = pa.array(out, pa.string()).take(pa.array(place.ravel()))
+    return pc.if_else(pa.array(missing), "", texts)
+
+
 def column_array(raw: bytes, col: Column, n: int, typed: bool = False) -> pa.Array:
     """n values of a column, as text with '' for missing, or typed with null for missing."""
     if len(raw) < col.width * n:
@@ -101,12 +118,7 @@ def column_array(raw: bytes, col: Column, n: int, typed: bool = False) -> pa.Arr
     x, missing = decode_double(raw, n)
     if typed:
         return pa.array(x, pa.float64(), mask=missing)
-    out = np.full(n, "", object)
-    whole = ~missing & (x == np.trunc(np.where(missing, 0, x))) & (np.abs(x) < 2.0**53)
-    out[whole] = x[whole].astype(np.int64).astype(str)
-    for i in np.flatnonzero(~missing & ~whole):
-        out[i] = double_text(float(x[i]), col.var.dcml)
-    return pa.array(out, pa.string())
+    return _double_texts(x, missing, col.var.dcml)
 
 
 # --- planning -------------------------------------------------------------------------------------
@@ -145,7 +157,7 @@ def block_layout(path: str, codebook: str, block: str) -> BlockLayout:
     if chosen.fid not in found:
         raise LayoutError(f"block {chosen.fid} was not found in the container")
     with open_checked(path) as data:
-        return plan_block(data, chosen, found[chosen.fid])
+        return plan_block(data, chosen, found[chosen.fid], frozenset(p for f, p in found.items() if f != chosen.fid))
 
 
 def _spark_type(col: Column, typed: bool) -> T.DataType:

@@ -19,6 +19,7 @@ from xml.sax.saxutils import quoteattr
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,7 @@ class Spec:
     encoding: str
     char_width: int = 0
     var_num: int = 1
+    raw: bool = False  # text beyond ASCII is stored as its UTF-8 bytes, not as question marks
 
     @property
     def width(self) -> int:
@@ -54,15 +56,34 @@ def slot_bytes(spec: Spec) -> bytes:
     return bytes(b)
 
 
-def encode_values(values: list, spec: Spec) -> bytes:
+def _encode_texts(text: pa.Array, spec: Spec) -> bytes:
+    w = spec.width
+    text = pc.fill_null(text.cast(pa.string()), "")
+    if not pc.all(pc.string_is_ascii(text)).as_py():
+        how = ("utf-8", "strict") if spec.raw else ("ascii", "replace")
+        return b"".join(v.encode(*how)[:w].ljust(w) for v in text.to_pylist())
+    text = pc.ascii_rpad(pc.utf8_slice_codeunits(text, 0, w), w)
+    return text.buffers()[2][text.offset * w : (text.offset + len(text)) * w].to_pybytes() if w and len(text) else b""
+
+
+def encode_values(values: list | pa.Array, spec: Spec) -> bytes:
     """Values of one column; None means missing."""
     w = spec.width
     if spec.encoding == "char":
-        return b"".join((v or "").encode("ascii", "replace")[:w].ljust(w) for v in values)
+        return _encode_texts(values if isinstance(values, pa.Array) else pa.array(values, pa.string()), spec)
     if spec.encoding == "double":
-        return np.array([np.nan if v is None else v for v in values], "<f8").tobytes()
+        return np.array([np.nan if v is None else v for v in values] if isinstance(values, list) else values.cast(pa.float64()).to_numpy(zero_copy_only=False), "<f8").tobytes()
     low = int(spec.var.rng_min or 0)
-    return b"".join(b"\xff" * w if v is None else (int(v) - low).to_bytes(w, "little") for v in values)
+    if w > 7 or abs(low) >= 1 << 62:
+        values = values if isinstance(values, list) else values.to_pylist()
+        return b"".join(b"\xff" * w if v is None else (int(v) - low).to_bytes(w, "little") for v in values)
+    values = pa.array(values, pa.int64()) if isinstance(values, list) else values.cast(pa.int64())
+    above = pc.fill_null(values, low).to_numpy() - low
+    if len(above) and (above.min() < 0 or above.max() >= 1 << 8 * w):
+        raise OverflowError(f"{spec.var.name}: values beyond {w} bytes above {low}")
+    cells = np.ascontiguousarray(above, "<i8").view(np.uint8).reshape(-1, 8)[:, :w].copy()
+    cells[values.is_null().to_numpy(zero_copy_only=False)] = 255
+    return cells.tobytes()
 
 
 def codebook_xml(blocks: list[Block]) -> str:
@@ -119,16 +140,24 @@ def specs_for(df: DataFrame) -> list[Spec]:
 
 
 def write_container(df: DataFrame, order: list[str], name: str = "Block-1", folder: str | None = None) -> tuple[str, str, str]:
-    """Write a table as a container of one block in the given order; returns (container, codebook, fid).
+    """Write a table as a container of one block in the given order; returns (container, codebook, fid)."""
+    path, book, blocks = write_blocks([Table(df, tuple(order), "F1", name)], folder)
+    return path, book, blocks[0].fid
 
-    The folder must be a file system that all executors see.
-    """
-    spark = df.sparkSession
-    folder = Path(local_path(folder or f"{shared_dir(spark)}/containers/{uuid.uuid4().hex}"))
-    pieces = folder / "pieces"
-    pieces.mkdir(parents=True)
-    specs = specs_for(df)
-    target = str(pieces)
+
+@dataclass(frozen=True)
+class Table:
+    """A table to be stored as a block, in the order of some of its columns; specs are found from the table unless given."""
+
+    df: DataFrame
+    order: tuple[str, ...]
+    fid: str
+    name: str
+    specs: tuple[Spec, ...] | None = None
+
+
+def _pieces(table: Table, specs: list[Spec], target: str) -> list[tuple[int, int]]:
+    """Encode ranges of rows column by column into files of target; (range, rows) in order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, tmp = None, 0, uuid.uuid4().hex
@@ -140,7 +169,7 @@ def write_container(df: DataFrame, order: list[str], name: str = "Block-1", fold
                 part = b["_part"][0].as_py()
                 files = [open(f"{target}/{part:08d}-{i:04d}.{tmp}", "wb") for i in range(len(specs))]
             for i, s in enumerate(specs):
-                files[i].write(encode_values(b[s.var.name].to_pylist(), s))
+                files[i].write(encode_values(b[s.var.name], s))
             n += b.num_rows
         for i, f in enumerate(files):
             f.close()
@@ -148,19 +177,34 @@ def write_container(df: DataFrame, order: list[str], name: str = "Block-1", fold
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
-    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    parts = sorted((r["part"], r["n"]) for r in laid.mapInArrow(encode, "part int, n long").collect())  # one row per task
-    block = Block("F1", name, sum(n for _, n in parts), [s.var for s in specs])
-    path = folder / "data.bin"
+    laid = table.df.repartitionByRange(*table.order).sortWithinPartitions(*table.order).withColumn("_part", F.spark_partition_id())
+    return sorted((r["part"], r["n"]) for r in laid.mapInArrow(encode, "part int, n long").collect())  # one row per task
+
+
+def write_blocks(tables: list[Table], folder: str | None = None) -> tuple[str, str, list[Block]]:
+    """Write tables as the blocks of one container; returns (container, codebook, blocks).
+
+    The folder must be a file system that all executors see.
+    """
+    spark = tables[0].df.sparkSession
+    folder = Path(local_path(folder or f"{shared_dir(spark)}/containers/{uuid.uuid4().hex}"))
+    folder.mkdir(parents=True, exist_ok=True)
+    path, blocks = folder / "data.bin", []
     with open(path, "wb") as out:
         out.write(MARK)
-        for _, i in sorted((s.var_num, i) for i, s in enumerate(specs)):
-            for part, _ in parts:
-                with open(pieces / f"{part:08d}-{i:04d}", "rb") as f:
-                    shutil.copyfileobj(f, out, 1 << 20)
-        for s in specs:
-            out.write(slot_bytes(s))
+        for t in tables:
+            specs = list(t.specs) if t.specs is not None else specs_for(t.df)
+            pieces = folder / f"pieces-{t.fid}"
+            pieces.mkdir()
+            parts = _pieces(t, specs, str(pieces))
+            for _, i in sorted((s.var_num, i) for i, s in enumerate(specs)):
+                for part, _ in parts:
+                    with open(pieces / f"{part:08d}-{i:04d}", "rb") as f:
+                        shutil.copyfileobj(f, out, 1 << 20)
+            for s in specs:
+                out.write(slot_bytes(s))
+            shutil.rmtree(pieces)
+            blocks.append(Block(t.fid, t.name, sum(n for _, n in parts), [s.var for s in specs]))
     book = folder / "ddi.xml"
-    book.write_text(codebook_xml([block]), encoding="utf-8")
-    shutil.rmtree(pieces)
-    return str(path), str(book), block.fid
+    book.write_text(codebook_xml(blocks), encoding="utf-8")
+    return str(path), str(book), blocks

@@ -103,10 +103,10 @@ def count_slots(data, start: int, limit: int) -> int:
     return n
 
 
-def _starts(data, block: Block, owners: Counter) -> Iterator[int]:
+def _starts(data, block: Block, alone: dict) -> Iterator[int]:
     """Places where the block's slots may begin, by the names that tell most first."""
     names = [v.name for v in block.variables]
-    keys = [(n, i) for i, n in enumerate(names) if owners[n] == 1] + [(names[0], 0)]
+    keys = [(n, i) for i, n in enumerate(names) if n in alone] + [(names[0], 0)]
     if len(names) > 1:
         keys.append((names[-1], len(names) - 1))
     for name, i in keys:
@@ -137,14 +137,20 @@ def _accepts(data, start: int, block: Block) -> bool:
     return run == n or any(t is not None and akin(t, last) for t in tails)
 
 
+def single_owners(blocks: list[Block]) -> dict[str, tuple[str, int]]:
+    """name -> (fid, place among its variables) of the names that just one variable of the codebook bears."""
+    owners = Counter(v.name for b in blocks for v in b.variables)
+    return {v.name: (b.fid, i) for b in blocks for i, v in enumerate(b.variables) if owners[v.name] == 1}
+
+
 def locate_blocks(data, blocks: list[Block]) -> dict[str, int]:
     """fid -> place of the first slot, for each block that can be found."""
-    owners = Counter(v.name for b in blocks for v in b.variables)
+    alone = single_owners(blocks)
     found: dict[str, int] = {}
     taken: set[tuple[int, int]] = set()
     for block in sorted(blocks, key=lambda b: b.fid_num):
         n = len(block.variables)
-        for start in _starts(data, block, owners) if n else ():
+        for start in _starts(data, block, alone) if n else ():
             if (start, n) not in taken and _accepts(data, start, block):
                 found[block.fid] = start
                 taken.add((start, n))
@@ -213,9 +219,37 @@ def repaired_widths(columns: list[Column], nrecs: int, room: int) -> list[Column
     return cols
 
 
-def plan_block(data, block: Block, start: int) -> BlockLayout:
-    """The layout of a located block: matched columns, widths, and offsets in the order of var_num."""
-    run = count_slots(data, start, len(block.variables))
+def further_slots(data, start: int, limit: int, others: frozenset[int] = frozenset()) -> int:
+    """Slots from start, where a codebook says there should be none, at most limit.
+
+    Behind a block's slots lie other bytes, so more is asked of these than of
+    slots that are expected: a printable name with nothing behind it in its
+    field, and no place where another block is known to begin.
+    """
+    n = 0
+    while n < limit:
+        at = start + n * SLOT_BYTES
+        if at in others or at + SLOT_BYTES > len(data) or not _valid_number(data, at):
+            break
+        name = _name(data, at) or ""
+        behind = bytes(data[at + NAME_AT + len(name.encode("utf-16-le")) : at + NAME_AT + NAME_BYTES])
+        if not name.strip() or not name.isprintable() or any(behind):
+            break
+        n += 1
+    return n
+
+
+def plan_block(data, block: Block, start: int, others: frozenset[int] = frozenset()) -> BlockLayout:
+    """The layout of a located block: matched columns, widths, and offsets in the order of var_num.
+
+    others are the places of other blocks' slots. Slots beyond the codebook's
+    variables take part in the matching, where a slot without variable is an
+    error: reading on without its width would shift every value.
+    """
+    n = len(block.variables)
+    run = count_slots(data, start, n)
+    if run == n:
+        run += further_slots(data, start + n * SLOT_BYTES, 6, others)
     cols = match_slots(block.variables, read_slots(data, start, run))
     cols = repaired_widths(cols, block.nrecs, start - len(MARK))
     at, placed = 0, {}

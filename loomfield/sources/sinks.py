@@ -1,7 +1,9 @@
-"""Writing a table of texts in eight formats, as one file each or as folders of parts.
+"""Writing a table of texts in eight formats, as folders of parts or as one file each.
 
-Text formats are built as whole lines inside the JVM and written in parallel.
-A single file is then the parts strung together in order, by copying streams.
+Text formats are built as whole lines inside the JVM and written in parallel;
+in a folder each part bears the header. On request the parts are strung
+together in order as one file, by copying streams. Workbooks and Stata files
+are always single.
 """
 
 from __future__ import annotations
@@ -18,20 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import padded, quoted, stata_name
-from ..session import local_path
+from ..session import file_url, local_path
 from .codebook import Variable
 
-# Formats, suffixes and descriptions.
-FORMATS = {
-    "parquet": (".parquet", "Apache Parquet, columnar and compressed; best for large tables"),
-    "csv": (".csv", "comma-separated values"),
-    "tsv": (".tsv", "tab-separated values"),
-    "excel": (".xlsx", "Excel workbook with a sheet of data and one of variables"),
-    "stata": (".dta", "Stata data file, version 117"),
-    "json": (".json", "one JSON array of records"),
-    "jsonl": (".jsonl", "JSON Lines, one record a line"),
-    "fwf": (".txt", "fixed-width text in the codebook's widths"),
-}
+# Names of the formats and suffixes of their files.
+SUFFIXES = {"parquet": ".parquet", "csv": ".csv", "tsv": ".tsv", "excel": ".xlsx", "stata": ".dta", "json": ".json", "jsonl": ".jsonl", "fwf": ".txt"}
+_ABOUT = {
+    "parquet": "typed columns for engines that read in parallel", "csv": "text cut by commas", "tsv": "text cut by tabs", "excel": "a workbook: the rows, and what the codebook says of the columns",
+    "stata": "all columns as strings with their labels", "json": "an array of objects (in folders: an object a line)", "jsonl": "an object a line", "fwf": "columns padded to the widths of the codebook",
+}
+FORMATS = {name: (suffix, _ABOUT[name]) for name, suffix in SUFFIXES.items()}
 SHEET_ROWS = 1_048_576
 #: Rows from which a format that must be made on the driver is refused.
 DRIVER_ROWS = 5_000_000
@@ -88,13 +86,19 @@ def _string_together(parts: Path, target: str, head: bytes = b"", tail: bytes =
         out.write(tail)
 
 
+def _headed(lines: DataFrame, head: str) -> DataFrame:
+    """Each partition's first line with the header before it."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return lines.select(F.when(first, F.concat(F.lit(head + "\n"), F.col("value"))).otherwise(F.col("value")).alias("value"))
+
+
 def _write_lines(lines: DataFrame, target: str, single: bool, head: str | None, array: bool = False) -> None:
     if not single:
-        lines.write.mode("overwrite").text("file://" + os.path.abspath(target))
+        (lines if head is None else _headed(lines, head)).write.mode("overwrite").text(file_url(target))
         return
     tmp = Path(f"{target}.{uuid.uuid4().hex}.parts")
     try:
-        lines.write.text("file://" + os.path.abspath(tmp))
+        lines.write.text(file_url(tmp))
         if array:
             _string_together(tmp, target, b"[\n  ", b"\n]", b",\n  ")
         else:
@@ -105,11 +109,11 @@ def _write_lines(lines: DataFrame, target: str, single: bool, head: str | None,
 
 def _write_parquet(df: DataFrame, target: str, single: bool) -> None:
     if not single:
-        df.write.mode("overwrite").parquet("file://" + os.path.abspath(target))
+        df.write.mode("overwrite").parquet(file_url(target))
         return
     tmp = Path(f"{target}.{uuid.uuid4().hex}.parts")
     try:
-        df.coalesce(1).write.option("compression", "snappy").parquet("file://" + os.path.abspath(tmp))
+        df.coalesce(1).write.option("compression", "snappy").parquet(file_url(tmp))
         os.replace(next(tmp.glob("part-*.parquet")), target)
     finally:
         shutil.rmtree(tmp, ignore_errors=True)
@@ -181,11 +185,11 @@ def write_stata(df: DataFrame, target: str, variables: dict[str, Variable]) -> N
     df.select(*cells).toPandas().to_stata(target, write_index=False, variable_labels=labels, version=117)
 
 
-def write_table(df: DataFrame, folder: str, name: str, formats: list[str], variables: list[tuple[Variable, str]] = (), single: bool = True) -> dict:
+def write_table(df: DataFrame, folder: str, name: str, formats: list[str], variables: list[tuple[Variable, str]] = (), single: bool = False) -> dict:
     """format -> {path, size_mb} or {path, error}; one format's failure leaves the others alone.
 
-    df must give its rows in the order wanted. With single, each format is one
-    file; without, parallel formats are folders of parts.
+    df must give its rows in the order wanted. Parallel formats are folders of
+    parts whose names sort in that order; with single, each is one file.
     """
     by_name = {v.name: v for v, _ in variables}
     out = {}

@@ -159,3 +159,33 @@ def test_no_records(spark, tmp_path):
 def test_encoder_and_struct_agree():
     assert encode_values([1.5], Spec(Variable("x"), "double")) == struct.pack("<d", 1.5)
     assert isinstance(C.decode_char(b"ab", 1, 2), pa.Array)
+
+
+def test_slots_behind_the_codebooks_are_an_error(spark, tmp_path):
+    """A slot more than variables would shift every value; data that follows a block's slots is no slot."""
+    specs = [Spec(Variable(n, "", "character", 2), "char", 2, i + 1) for i, n in enumerate(("aa", "bb", "cc"))]
+    rows = [["a1", "a2"], ["b1", "b2"], ["c1", "c2"]]
+    block = Block("F1", "b", 2, [s.var for s in specs])
+    path, book = tmp_path / "x.bin", tmp_path / "ddi.xml"
+    path.write_bytes(encode_container([(block, specs, rows)]))
+    book.write_text(codebook_xml([Block("F1", "b", 2, block.variables[:2])]))
+    with pytest.raises(LayoutError, match="cc"):
+        C.read_block(spark, str(path), "F1")
+    # numbers behind the slots that read as valid slot numbers, and a second block without records
+    numbers = [Spec(Variable("n", ddi_width=9), "offset", 0, 1), Spec(Variable("m", ddi_width=9), "offset", 0, 2)]
+    second, third = Block("F2", "n", 300, [s.var for s in numbers]), Block("F3", "z", 0, [Variable("zz", ddi_width=1)])
+    data = encode_container([(block, specs, rows), (second, numbers, [[0x0041] * 300, [0x0042] * 300]), (third, [Spec(third.variables[0], "offset")], [[]])])
+    path.write_bytes(data), book.write_text(codebook_xml([block, second, third]))
+    assert [tuple(r) for r in C.read_block(spark, str(path), "F1").collect()] == [("a1", "b1", "c1"), ("a2", "b2", "c2")]
+    assert C.read_block(spark, str(path), "F2").distinct().collect() == [("65", "66")]
+    assert C.read_block(spark, str(path), "F3").count() == 0
+
+
+def test_values_and_arrays_encode_alike():
+    text = Spec(Variable("t"), "char", 3)
+    assert encode_values(pa.array(["ab", None, "abcd"]), text) == encode_values(["ab", None, "abcd"], text) == b"ab    abc"
+    assert encode_values(["é"], text) == b"?  " and encode_values(["é"], Spec(Variable("t"), "char", 3, raw=True)) == b"\xc3\xa9 "
+    n = Spec(Variable("n", rng_min=-5.0, rng_max=400.0), "offset")
+    assert encode_values(pa.array([-5, None, 400]), n) == encode_values([-5, None, 400], n) == b"\0\0\xff\xff\x95\x01"
+    with pytest.raises(OverflowError):
+        encode_values([-6], n)

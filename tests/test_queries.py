@@ -3,12 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
-from loomfield.plans import general, survey
+from loomfield.plans import containers, general, survey
 
 from compare import assert_same, connect
 
-CORE = general.QUERIES | survey.QUERIES
-SQL = general.ORACLE | survey.ORACLE
+CORE = general.QUERIES | survey.QUERIES | containers.QUERIES
+SQL = general.ORACLE | survey.ORACLE | containers.ORACLE
 
 
 @pytest.fixture(scope="module")
