@@ -54,7 +54,7 @@ def p2_categories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_refused(spark: SparkSession, d: str) -> DataFrame:
-    """Codebooks that p2_found leaves out, although well-formed, as they declare entities."""
+    """Codebooks that p2_found leaves out, although well-formed, as their entities grow beyond the parser's limit."""
     return nested_records.refused_texts(table(spark, d, "ddi_codebooks"), "codebook_id", "ddi_xml").select(F.col("doc").alias("codebook_id"))
 
 
