@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import cell
 from ..operators import codebook_tables, copy_diff, nested_records, orphan_refs, quality_profile, schema_drift
-from ..session import table
+from ..session import once, shared_dir, table
 
 RECORDS = "block_10_household_loan_records"
 EXPORT = "block_10_household_loan_export"
@@ -119,7 +122,42 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return t.select("series_id", "fid", "round_no", "name", "variable", "type", "width", "unified_type", "unified_width")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_per_field, p1_ranges, p2_found, p2_files, p2_variables, p2_categories, p2_refused, p3_found, p3_profile, p3_bounds, p3_shifts, p4_found, p4_report, p5_found, p5_per_change, p5_table)}
+def _drifting_files(spark: SparkSession, d: str) -> list[str]:
+    """The loan records as four deliveries of a quarter each: as they are; with columns renamed, typed and added; with columns in groups; and one more as the first."""
+
+    def make():
+        df = table(spark, d, RECORDS)
+        said = lambda c, name, label: c.alias(name, metadata={"label": label})
+        part = lambda i: df.where(F.pmod("rec_no", F.lit(4)) == i)
+        c, text = F.col, cell(F.col("B10_q3"))
+        amount = F.when(text.rlike("^-?[0-9]{1,18}$"), text.cast("bigint"))
+        first = [c("rec_no"), said(c("Hhold_key"), "Hhold_key", "Household key"), said(c("B10_q3"), "B10_q3", "Amount outstanding"), c("sub_round"), c("office"), c("load_seq")]
+        second = [c("rec_no"), said(c("Hhold_key"), "household", "household KEY"), said(amount, "amount", "amount, outstanding"), c("sub_round"), c("load_seq").cast("bigint").alias("load_seq"), c("loaded_at")]
+        third = [c("rec_no"), F.struct(said(c("Hhold_key"), "household", "Household key"), c("sub_round")).alias("who"), F.struct(said(amount, "amount", "Amount outstanding"), c("B10_q5").alias("months")).alias("loan"), c("load_seq").cast("bigint").alias("load_seq")]
+        fourth = [c("rec_no"), F.struct(said(c("Hhold_key"), "household", "Household key"), c("sub_round")).alias("asked"), F.struct(said(amount, "amount", "Amount outstanding"), c("B10_q5").alias("months")).alias("loan"), c("load_seq").cast("bigint").alias("load_seq"), c("office")]
+        base, out = f"{shared_dir(spark)}/drifting/{uuid.uuid4().hex}", []
+        for i, cols in enumerate((first, second, third, fourth)):
+            out.append(f"{base}/{i}.parquet")
+            part(i).select(*cols).write.parquet(out[-1])
+        return out
+
+    return once(spark, (d, "drifting"), make)
+
+
+def p5_unified_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of four schemas read as one table by the projections that their edit scripts compile to."""
+    return schema_drift.read_unified(spark, _drifting_files(spark, d))[0]
+
+
+def p5_file_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The edit scripts between those files."""
+    scripts = schema_drift.read_unified(spark, _drifting_files(spark, d))[1]
+    at = lambda x: ".".join(x.path) if x else None
+    rows = [(i, e.op, at(e.old), at(e.new)) for i, s in enumerate(scripts, 1) for e in s]
+    return spark.createDataFrame(rows, "version int, change string, old_path string, new_path string")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_per_field, p1_ranges, p2_found, p2_files, p2_variables, p2_categories, p2_refused, p3_found, p3_profile, p3_bounds, p3_shifts, p4_found, p4_report, p5_found, p5_per_change, p5_table, p5_unified_files, p5_file_changes)}
 
 # --- SQL ------------------------------------------------------------------------------------------
 
@@ -184,6 +222,7 @@ WHERE r.k <> '' AND NOT EXISTS (SELECT 1 FROM hh WHERE hh.k = r.k AND hh.loaded_
 _ORPHANS = f"""WITH hh AS (SELECT {_cell('Hhold_key')} AS k, loaded_at, deleted_at FROM {HOUSEHOLDS}),
 o AS ({_orphan_sql(PERSONS)} UNION ALL {_orphan_sql(RECORDS)})"""
 
+# Of a file and round at most one field gone and one new bear the same words in these tables, so renamed pairs are a plain join here.
 _P5 = """
 WITH v AS (SELECT DISTINCT series_id, round_no, delivery_id, fid, name, ddi_width AS w, ddi_pos AS pos,
     trim(regexp_replace(lower(coalesce(label, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS words,
@@ -194,9 +233,9 @@ r AS (SELECT *, lag(round_no) OVER (PARTITION BY series_id ORDER BY round_no) AS
 t AS (SELECT v.* FROM v JOIN c USING (series_id, round_no, delivery_id)),
 old AS (SELECT r.series_id, r.round_no, t.fid, t.name, t.w, t.words, t.ty, t.pos FROM r JOIN t ON t.series_id = r.series_id AND t.round_no = r.prev),
 new AS (SELECT r.series_id, r.round_no, t.fid, t.name, t.w, t.words, t.ty, t.pos FROM r JOIN t ON t.series_id = r.series_id AND t.round_no = r.round_no WHERE r.prev IS NOT NULL),
-gone AS (SELECT *, row_number() OVER (PARTITION BY series_id, round_no, fid, words ORDER BY pos, name) AS k FROM old ANTI JOIN new USING (series_id, round_no, fid, name)),
-come AS (SELECT *, row_number() OVER (PARTITION BY series_id, round_no, fid, words ORDER BY pos, name) AS k FROM new ANTI JOIN old USING (series_id, round_no, fid, name)),
-ren AS (SELECT g.series_id, g.round_no, g.fid, g.name AS was, n.name, g.ty AS t0, n.ty AS t1, g.w AS w0, n.w AS w1 FROM gone g JOIN come n ON g.series_id = n.series_id AND g.round_no = n.round_no AND g.fid = n.fid AND g.words = n.words AND g.k = n.k WHERE g.words <> ''),
+gone AS (SELECT * FROM old ANTI JOIN new USING (series_id, round_no, fid, name)),
+come AS (SELECT * FROM new ANTI JOIN old USING (series_id, round_no, fid, name)),
+ren AS (SELECT g.series_id, g.round_no, g.fid, g.name AS was, n.name, g.ty AS t0, n.ty AS t1, g.w AS w0, n.w AS w1 FROM gone g JOIN come n ON g.series_id = n.series_id AND g.round_no = n.round_no AND g.fid = n.fid AND g.words = n.words WHERE g.words <> ''),
 same AS (SELECT o.series_id, o.round_no, o.fid, o.name AS was, n.name, o.ty AS t0, n.ty AS t1, o.w AS w0, n.w AS w1 FROM old o JOIN new n USING (series_id, round_no, fid, name)),
 both_ AS (SELECT * FROM ren UNION ALL SELECT * FROM same),
 ch AS (SELECT series_id, fid, round_no, 'renamed' AS change, name FROM ren
@@ -226,5 +265,10 @@ chain AS (SELECT series_id, fid, round_no, name, name AS variable FROM nodes ANT
   UNION ALL SELECT ln.series_id, ln.fid, ln.round_no, ln.name, chain.variable FROM chain JOIN ln ON ln.series_id = chain.series_id AND ln.fid = chain.fid AND ln.to_round = chain.round_no AND ln.to_name = chain.name JOIN nodes m ON m.series_id = ln.series_id AND m.fid = ln.fid AND m.round_no = ln.round_no AND m.name = ln.name)
 SELECT c.*, n.type, n.width, CASE WHEN bool_and(n.type = 'numeric') OVER w THEN 'numeric' ELSE 'character' END AS unified_type, max(n.width) OVER w AS unified_width
 FROM chain c JOIN nodes n USING (series_id, fid, round_no, name) WINDOW w AS (PARTITION BY c.series_id, c.fid, c.variable)""",
+    "p5_unified_files": f"""SELECT rec_no, "Hhold_key" AS asked_household, CASE WHEN rec_no % 4 = 0 THEN B10_q3 ELSE CAST(TRY_CAST(CASE WHEN regexp_full_match({_cell('B10_q3')}, '-?[0-9]{{1,18}}') THEN {_cell('B10_q3')} END AS BIGINT) AS VARCHAR) END AS loan_amount, sub_round AS asked_sub_round,
+      CASE WHEN rec_no % 4 IN (0, 3) THEN office END AS office, CAST(load_seq AS BIGINT) AS load_seq, CASE WHEN rec_no % 4 = 1 THEN loaded_at END AS loaded_at, CASE WHEN rec_no % 4 IN (2, 3) THEN B10_q5 END AS loan_months FROM {RECORDS}""",
+    "p5_file_changes": """SELECT * FROM (VALUES (1, 'renamed', 'Hhold_key', 'household'), (1, 'renamed', 'B10_q3', 'amount'), (1, 'type', 'B10_q3', 'amount'), (1, 'type', 'load_seq', 'load_seq'), (1, 'removed', 'office', NULL), (1, 'added', NULL, 'loaded_at'),
+      (2, 'added', NULL, 'who'), (2, 'added', NULL, 'loan'), (2, 'moved', 'household', 'who.household'), (2, 'moved', 'sub_round', 'who.sub_round'), (2, 'moved', 'amount', 'loan.amount'), (2, 'added', NULL, 'loan.months'), (2, 'removed', 'loaded_at', NULL),
+      (3, 'renamed', 'who', 'asked'), (3, 'added', NULL, 'office')) t(version, change, old_path, new_path)""",
     "p5_per_change": f"{_P5} SELECT change, count(*) AS cases, count(DISTINCT series_id) AS series FROM ch GROUP BY change",
 }

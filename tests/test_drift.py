@@ -3,7 +3,7 @@ import random
 from datetime import datetime
 
 import pytest
-from loomfield.operators.schema_drift import COST, Leaf, edit_distance, edit_script, previous_in_order, read_unified, schema_changes, unified_variables, unify_schemas, wider_type
+from loomfield.operators.schema_drift import COST, Leaf, best_assignment, edit_distance, edit_script, neighbours_in_order, read_unified, schema_changes, unified_variables, unify_schemas, wider_type
 from pyspark.sql import types as T
 
 V = "series_id long, round_no int, delivery_id long, fid string, ddi_pos int, name string, label string, type string, ddi_width int, loaded_at timestamp_ntz"
@@ -21,7 +21,7 @@ def brute_distance(old, new):
 
     def pair(a, b):
         base = COST["renamed"] if a.parent == b.parent and a.words and a.words == b.words else COST["moved"] if a.name == b.name else None
-        return None if base is None else base
+        return None if base is None else base + (a.type != b.type) * COST["type"] + (a.width != b.width) * COST["width"]
 
     best = float("inf")
     for m in range(min(len(old), len(new)) + 1):
@@ -33,25 +33,59 @@ def brute_distance(old, new):
     return fixed + best
 
 
-@pytest.mark.parametrize("seed", range(20))
+@pytest.mark.parametrize("seed", range(150))
 def test_distance_is_least(seed):
+    """Fields of two files that both versions have, with types and widths that vary: the pairing of least cost."""
     r = random.Random(seed)
 
     def tree():
         got = {}
-        for _ in range(r.randrange(6)):
-            leaf = Leaf(r.choice("FG"), r.choice("abcde"), r.choice(["", "w x", "y"]), "t", 1, r.randrange(9))
-            got.setdefault((leaf.parent, leaf.name), leaf)
+        for _ in range(r.randrange(8)):
+            leaf = Leaf((r.choice("FG"),), r.choice("abcdefg"), r.choice(["", "w x", "w x", "y"]), r.choice("tu"), r.choice([1, 2, None]), r.randrange(9))
+            got.setdefault(leaf.path, leaf)
+        for f in "FG":
+            got.setdefault((f, "kept"), Leaf((f,), "kept", "", "t", 1))
         return list(got.values())
 
     old, new = tree(), tree()
     assert edit_distance(old, new) == pytest.approx(brute_distance(old, new))
 
 
+def test_like_pairs_come_first():
+    leaf = lambda n, t, w, pos: Leaf(("F",), n, "words", t, w, pos)
+    assert edit_distance([leaf("a", "num", 5, 0), leaf("b", "char", 3, 1)], [leaf("c", "char", 3, 0), leaf("d", "num", 5, 1)]) == 2.0
+    many = [leaf(f"o{i}", "num" if i % 3 else "char", i % 7, i) for i in range(300)]
+    assert edit_distance(many, [leaf(f"n{i}", x.type, x.width, i) for i, x in enumerate(reversed(many))]) == 300.0
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_assignment_is_best(seed):
+    r = random.Random(seed)
+    n, m = r.randrange(1, 6), r.randrange(1, 6)
+    saving = [[max(0.0, r.uniform(-2, 5)) for _ in range(m)] for _ in range(n)]
+    got = best_assignment(saving)
+    best = max(sum(saving[i][j] for i, j in zip(rows, cols)) for k in range(min(n, m) + 1) for rows in itertools.combinations(range(n), k) for cols in itertools.permutations(range(m), k))
+    assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got) and sum(saving[i][j] for i, j in got) == pytest.approx(best)
+
+
+def test_groups_are_renamed_moved_added_and_removed():
+    fields = lambda parent, names, t="n": [Leaf(parent, x, "", t, 1, i) for i, x in enumerate(names)]
+    ops = lambda a, b: sorted((e.op, (e.new or e.old).path) for e in edit_script(a, b))
+    old = fields((), "k") + fields(("g",), "abcde") + fields(("g", "in"), "xy")
+    assert ops(old, fields((), "k") + fields(("h",), "abcde") + fields(("h", "in"), "xy")) == [("renamed", ("h",))]
+    assert edit_distance(old, fields((), "k") + fields(("h",), "abcde") + fields(("h", "in"), "xy")) == 1.0
+    assert ops(old, fields((), "k") + fields(("h",), "abcd") + fields(("h", "deep"), "xyz", "m")) == sorted([("renamed", ("h",)), ("removed", ("g", "e")), ("renamed", ("h", "deep")), ("added", ("h", "deep", "z")), ("type", ("h", "deep", "x")), ("type", ("h", "deep", "y"))])
+    assert ops(old, fields((), "k") + fields(("g",), "abcde") + fields(("other", "in"), "xy")) == sorted([("moved", ("other", "in")), ("added", ("other",))])
+    assert ops(fields(("g",), "a"), fields(("h",), "b")) == sorted([("removed", ("g",)), ("removed", ("g", "a")), ("added", ("h",)), ("added", ("h", "b"))])
+    # two groups swap their likeness: the assignment finds who is who
+    a = fields(("p",), "abc") + fields(("q",), "def")
+    assert ops(a, fields(("r",), "def") + fields(("s",), "abc")) == [("renamed", ("r",)), ("renamed", ("s",))]
+
+
 def test_script_of_a_small_change():
-    old = [Leaf("F1", "a", "same words", "n", 2, 0), Leaf("F1", "b", "", "n", 2, 1), Leaf("F1", "c", "x", "n", 2, 2)]
-    new = [Leaf("F1", "A", "same words", "s", 2, 0), Leaf("F2", "c", "x", "n", 3, 0), Leaf("F1", "d", "", "n", 1, 1)]
-    assert sorted((e.op, (e.new or e.old).name) for e in edit_script(old, new)) == [("added", "d"), ("moved", "c"), ("removed", "b"), ("renamed", "A"), ("type", "A"), ("width", "c")]
+    old = [Leaf(("F1",), "a", "same words", "n", 2, 0), Leaf(("F1",), "b", "", "n", 2, 1), Leaf(("F1",), "c", "x", "n", 2, 2)]
+    new = [Leaf(("F1",), "A", "same words", "s", 2, 0), Leaf(("F2",), "c", "x", "n", 3, 0), Leaf(("F1",), "d", "", "n", 1, 1)]
+    assert sorted((e.op, (e.new or e.old).name) for e in edit_script(old, new)) == [("added", "F2"), ("added", "d"), ("moved", "c"), ("removed", "b"), ("renamed", "A"), ("type", "A"), ("width", "c")]
     assert sorted(e.op for e in edit_script(old, new, moves=False)) == ["added", "added", "removed", "removed", "renamed", "type"]
     assert edit_script(old, old) == [] and edit_script([], []) == []
 
@@ -80,14 +114,14 @@ def test_names_are_followed_over_rounds(spark):
     assert unified_variables(frame(spark, rows[:0])).count() == 0
 
 
-def test_previous_in_order_over_blocks(spark):
+def test_neighbours_in_order_over_blocks(spark):
     r = random.Random(1)
     rows = [("hot", r.randrange(-300, 300)) for _ in range(200)] + [("b", 5)]
     want = set()
     for k in ("hot", "b"):
         xs = sorted({n for q, n in rows if q == k})
-        want |= set(zip([k] * len(xs), xs, [None, *xs]))
-    got = previous_in_order(spark.createDataFrame(rows, "k string, n int"), "k", "n", 16)
+        want |= set(zip([k] * len(xs), xs, [None, *xs], [*xs[1:], None]))
+    got = neighbours_in_order(spark.createDataFrame(sorted(set(rows)), "k string, n int"), "k", "n", block=16)
     assert {tuple(x) for x in got.collect()} == want
 
 
@@ -98,7 +132,7 @@ def test_files_of_drifting_schemas_read_as_one_table(spark, tmp_path):
     for n, rows, s in (("a", [(1, 5, "g", (7,))], s1), ("b", [(2, 6, "h", (8,))], s1), ("c", [(9, 3, 0.5, (9,))], s2)):
         spark.createDataFrame(rows, s).write.parquet(str(tmp_path / n))
     df, scripts = read_unified(spark, [str(tmp_path / n) for n in "abc"])
-    assert [sorted(e.op for e in s) for s in scripts] == [["added", "moved", "removed", "renamed", "type"]]
+    assert [sorted(e.op for e in s) for s in scripts] == [["added", "removed", "renamed", "renamed", "type"]]
     assert dict(df.dtypes) == {"id": "int", "amount": "bigint", "gone": "string", "h_x": "int", "extra": "double"}
     assert sorted(tuple(r) for r in df.select("id", "amount", "gone", "h_x", "extra").collect()) == [(1, 5, "g", 7, None), (2, 6, "h", 8, None), (3, 9, None, 9, 0.5)]
 
@@ -106,5 +140,17 @@ def test_files_of_drifting_schemas_read_as_one_table(spark, tmp_path):
 def test_a_field_that_comes_back_is_the_same_field():
     s = lambda *ns: T.StructType([T.StructField(n, T.StringType()) for n in ns])
     target, _ = unify_schemas([s("a", "b"), s("a"), s("a", "b")])
-    assert [n for n, _ in target.fields] == ["a", "b"]
+    assert [n for _, _, n in target.fields] == ["a", "b"]
     assert wider_type("int", "bigint") == "bigint" and wider_type("int", "string") == "string" and wider_type("bigint", "float") == "double"
+
+
+def test_schemas_that_come_back_share_a_scan(spark, tmp_path):
+    """Files A, B, A, B: two scans; dots and clashing names in fields stay apart."""
+    a, b = "`a.b` int, g struct<b: int>, g_b int", "`a.b` int, g struct<b: int>, g_b int, more string"
+    for i, (rows, s) in enumerate([([(1, (2,), 3)], a), ([(4, (5,), 6, "x")], b), ([(7, (8,), 9)], a), ([(10, (11,), 12, "y")], b)]):
+        spark.createDataFrame(rows, s).write.parquet(str(tmp_path / str(i)))
+    df, scripts = read_unified(spark, [str(tmp_path / str(i)) for i in range(4)])
+    assert [[e.op for e in s] for s in scripts] == [["added"], ["removed"], ["added"]]
+    assert df.columns == ["a.b", "g_b", "g_b_2", "more"]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 2, 3, None), (4, 5, 6, "x"), (7, 8, 9, None), (10, 11, 12, "y")]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
