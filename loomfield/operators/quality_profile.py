@@ -2,31 +2,24 @@
 
 Exact base aggregates come from one pass that counts each (load, column, cell
 class, number). Changes between a load and its forerunner come from a classifier
-two-sample test: a logistic regression learns to tell the two loads apart from
-the binned columns. What it can tell on rows it was not fitted on, with all
-columns, without each column and with each column alone, says whether and in
-which column the distributions differ. Loads the model can tell apart by a
-column go to an exact comparison of cumulative shares.
-
-Rows reach the models as counts of joint bins, so what a model reads is bounded
-by the bins and not by the load.
+two-sample test (load_classifier). Columns by which the loads can be told apart
+go to an exact comparison of cumulative shares.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cell
 from ..session import pick, work_table
+from .running import running_sums
 
+
+#: Bins hold at most this part of either load's valid values, but for values that many rows share.
 QUANTILES = 16
-FOLDS = 2
-RIDGE = 0.05
 
 
 @dataclass(frozen=True)
@@ -41,6 +34,8 @@ class ProfileSpec:
     min_valid: int = 20
     missing_share: float = 0.15
     shift_gap: float = 0.25
+    tell_apart: float = 0.6  # a column by which a model tells loads apart this well on rows it was not fitted on is looked at
+    ablated: float = 0.02  # so is one whose loss costs the model of all columns this much
 
     @property
     def columns(self) -> list[str]:
@@ -81,85 +76,16 @@ def cell_violations(rows: DataFrame, spec: ProfileSpec) -> DataFrame:
     return _long(rows, spec, "rec").where("kind in ('pattern', 'range')").select(F.col("col").alias("column_name"), F.col("kind").alias("issue"), F.col("rec").alias("rec_no"))
 
 
+def quarter_of(rec: str) -> Column:
+    """The quarter of the rows, 0 to 3, to which a record belongs; 0 and 1 make the first half."""
+    return F.pmod(F.xxhash64(rec), F.lit(4)).cast("int")
+
+
 def value_counts(rows: DataFrame, spec: ProfileSpec) -> DataFrame:
     """Counts per (load, owner, seq, col, kind, v); combined on the map side, so a hot load is small when it moves."""
     return _long(rows, spec, "load", "owner", "seq").groupBy("load", "owner", "seq", "col", "kind", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def load_profiles(counts: DataFrame) -> DataFrame:
-    """Per load and column: rows, blank, pattern, range, valid, distinct, lowest, highest."""
-    n_if = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k)
-    return counts.groupBy("load", "owner", "seq", "col").agg(
-        F.sum("n").alias("rows"), *[n_if(k) for k in ("blank", "pattern", "range", "valid")],
-        F.count("v").alias("distinct"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
-    )
-
-
-# --- classifier two-sample test -----------------------------------------------------------------
-
-
-def _auc(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float:
-    """Area under the curve from counts of both classes per cell; ties count half."""
-    if pos.sum() == 0 or neg.sum() == 0:
-        return 0.5
-    _, inv = np.unique(np.round(score, 9), return_inverse=True)
-    p, n = np.bincount(inv, pos), np.bincount(inv, neg)
-    return float((p * (np.cumsum(n) - n / 2)).sum() / (p.sum() * n.sum()))
-
-
-def _fit(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, steps: int = 12) -> np.ndarray:
-    """Logistic regression on counts by Newton steps; both loads weigh the same."""
-    w = np.zeros(x.shape[1])
-    a, b = pos / max(pos.sum(), 1), neg / max(neg.sum(), 1)
-    scale = (pos.sum() + neg.sum()) / 2
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = scale * (x.T @ (a - (a + b) * p)) - RIDGE * w
-        h = scale * (x.T * ((a + b) * p * (1 - p))) @ x + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w += step
-        if np.abs(step).max() < 1e-4:
-            break
-    return w
-
-
-def _one_hot(bins: np.ndarray) -> np.ndarray:
-    return (bins[:, None] == np.unique(bins)[None, :]).astype(float)
-
-
-def _discriminate(cells: pd.DataFrame, k: int) -> list[dict]:
-    """Of one pair of loads: per column the AUCs of the cross-fitted models, and of the fitted one on the column alone."""
-    fold, pos, neg = cells["fold"].to_numpy(), cells["n1"].to_numpy(float), cells["n0"].to_numpy(float)
-    bins = [cells[f"b{i}"].to_numpy() for i in range(k)]
-
-    def crossed(cols: list[int], use: np.ndarray) -> float:
-        if not cols or not use.any():
-            return 0.5
-        x = np.concatenate([np.ones((len(cells), 1))] + [_one_hot(bins[i]) for i in cols], 1)
-        parts = []
-        for f in range(FOLDS):
-            fit, out = use & (fold != f), use & (fold == f)
-            if out.any():
-                w = _fit(x[fit], pos[fit], neg[fit]) if fit.any() else np.zeros(x.shape[1])
-                parts.append((_auc(x[out] @ w, pos[out], neg[out]), pos[out].sum() * neg[out].sum()))
-        weight = sum(p[1] for p in parts)
-        return sum(a * b for a, b in parts) / weight if weight else 0.5
-
-    every = np.ones(len(cells), bool)
-    full = crossed(list(range(k)), every)
-    out = []
-    for i in range(k):
-        valid = bins[i] >= 0
-        level, inv = np.unique(bins[i][valid], return_inverse=True)
-        p, n = np.bincount(inv, pos[valid], len(level)), np.bincount(inv, neg[valid], len(level))
-        fitted = 0.5
-        if len(level):
-            x = np.concatenate([np.ones((len(level), 1)), np.eye(len(level))], 1)
-            fitted = _auc(x @ _fit(x, p, n), p, n)
-        out.append({"i": i, "auc_all": full, "auc_without": crossed([j for j in range(k) if j != i], every), "auc_alone": crossed([i], valid), "auc_fitted": fitted})
-    return out
-
-
 def load_pairs(profiles: DataFrame) -> DataFrame:
     """(load, prev) of each load and its owner's load before it."""
     loads = profiles.where("load is not null").select("load", "owner", "seq").distinct()
@@ -167,85 +93,51 @@ def load_pairs(profiles: DataFrame) -> DataFrame:
     return loads.join(before, ["owner", "seq"]).select("load", "prev")
 
 
-def bin_edges(counts: DataFrame) -> DataFrame:
-    """Per load and column the values at each sixteenth of the cumulative share.
-
-    The window runs over the distinct valid numbers of one load and column,
-    which lie within the codebook's bounds, not over its rows.
-    """
-    by = Window.partitionBy("load", "col")
-    cum = counts.where("kind = 'valid'").select("load", "col", "v", "n", F.sum("n").over(by.orderBy("v")).alias("cum"), F.sum("n").over(by).alias("all"))
-    step = lambda c: F.floor(c * QUANTILES / F.col("all"))
-    return cum.where(step(F.col("cum")) > step(F.col("cum") - F.col("n"))).groupBy("load", "col").agg(F.collect_set("v").alias("edges"))
+def load_profiles(counts: DataFrame) -> DataFrame:
+    """Per load and column: rows, blank, pattern, range, valid, distinct, lowest, highest."""
+    n_if = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k)
+    return counts.groupBy("load", "owner", "seq", "col").agg(
+        F.sum("n").alias("rows"), *[n_if(k) for k in ("blank", "pattern", "range", "valid")],
+        F.count("v").alias("distinct"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
+    )
 
 
-def discrimination(rows: DataFrame, counts: DataFrame, pairs: DataFrame, spec: ProfileSpec) -> DataFrame:
-    """Per pair of loads and column: cross-fitted AUC of the full model, without the column, of the column alone, and fitted.
+def largest_gaps(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact largest gap between the cumulative shares of each (load, prev, col): (…, n1, n0, cross), the gap being cross / (n1 * n0).
 
-    Bins are the edges of both loads, so that at some edge the gap between
-    the cumulative shares is within a sixteenth of its maximum; blanks and
-    faulty cells are bins of their own (below 0).
+    Running sums go over ranges of values, so no task holds a hot load's values.
     """
-    k = len(spec.columns)
-    edges = bin_edges(counts)
-    wide = edges.groupBy("load").agg(*[F.max(F.when(F.col("col") == c, F.col("edges"))).alias(f"e{i}") for i, c in enumerate(spec.columns)])
-    empty = F.array().cast("array<double>")
-    both = pairs.join(wide, "load", "left").join(wide.select(F.col("load").alias("prev"), *[F.col(f"e{i}").alias(f"p{i}") for i in range(k)]), "prev", "left")
-    both = both.select("load", "prev", *[F.array_union(F.coalesce(f"e{i}", empty), F.coalesce(f"p{i}", empty)).alias(f"e{i}") for i in range(k)])
-    es = [f"e{i}" for i in range(k)]
-    sides = both.select(F.col("load").alias("at"), F.col("load").alias("pair"), F.lit(1).alias("y"), *es).unionByName(both.select(F.col("prev").alias("at"), F.col("load").alias("pair"), F.lit(0).alias("y"), *es))
-    slim = rows.select(F.col("load").alias("at"), F.pmod(F.xxhash64("rec"), F.lit(FOLDS)).alias("fold"), *[c for i in range(k) for c in (f"k{i}", f"v{i}")])
-    slim = slim.groupBy("at", "fold", *[c for i in range(k) for c in (f"k{i}", f"v{i}")]).agg(F.count(F.lit(1)).alias("n"))
-    joined = slim.join(sides, "at")
-
-    def bin_of(i: int):
-        below = F.filter(f"e{i}", lambda e: e < F.col(f"v{i}"))
-        return F.when(F.col(f"k{i}") == "valid", F.size(below)).when(F.col(f"k{i}") == "blank", -1).otherwise(-2).alias(f"b{i}")
-
-    bins = [bin_of(i) for i in range(k)]
-    cells = joined.select("pair", "fold", "y", "n", *bins).groupBy("pair", "fold", *[f"b{i}" for i in range(k)]).agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_discriminate(pdf, k))
-        out.insert(0, "load", pdf["pair"].iloc[0])
-        return out
-
-    got = cells.groupBy("pair").applyInPandas(fit, "load string, i int, auc_all double, auc_without double, auc_alone double, auc_fitted double")
-    names = F.array(*[F.lit(c) for c in spec.columns])
-    return got.withColumn("col", F.element_at(names, F.col("i") + 1)).drop("i").join(pairs, "load")
-
-
-def largest_gaps(counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact largest gap between the cumulative shares of each (load, prev, col): (…, n1, n0, gap)."""
     valid = counts.where("kind = 'valid'").groupBy("load", "col", "v").agg(F.sum("n").alias("n"))
     cur = pairs.join(valid, ["load", "col"]).select("load", "prev", "col", "v", F.col("n").alias("n1"), F.lit(0).cast("long").alias("n0"))
     old = pairs.join(valid.withColumnRenamed("load", "prev"), ["prev", "col"]).select("load", "prev", "col", "v", F.lit(0).cast("long").alias("n1"), F.col("n").alias("n0"))
     per = cur.unionByName(old).groupBy("load", "prev", "col", "v").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    by = Window.partitionBy("load", "prev", "col")
-    run = by.orderBy("v")
-    cum = per.select("load", "prev", "col", F.sum("n1").over(run).alias("c1"), F.sum("n0").over(run).alias("c0"), F.sum("n1").over(by).alias("n1"), F.sum("n0").over(by).alias("n0"))
-    gap = F.abs(F.col("c1").cast("decimal(19,0)") * F.col("n0") - F.col("c0").cast("decimal(19,0)") * F.col("n1"))
-    return cum.groupBy("load", "prev", "col").agg(F.max("n1").alias("n1"), F.max("n0").alias("n0"), F.max(gap).alias("cross"))
+    cum = running_sums(per, ["load", "prev", "col"], "v", ["n1", "n0"])
+    gap = F.abs(F.col("cum_n1").cast("decimal(19,0)") * F.col("all_n0") - F.col("cum_n0").cast("decimal(19,0)") * F.col("all_n1"))
+    return cum.groupBy("load", "prev", "col").agg(F.max("all_n1").alias("n1"), F.max("all_n0").alias("n0"), F.max(gap).alias("cross"))
 
 
 def screen_auc(spec: ProfileSpec) -> float:
-    """The fitted AUC that a gap over the limit can't fall below, less a little for the ridge.
+    """The fitted AUC that a gap over the limit can't fall below.
 
-    The curve of the fitted one-column model is concave and passes a point
-    with a gap of at least shift_gap less a sixteenth, so the area is at least
-    a half plus half of that.
+    The fitted one-column model orders the bins by their odds, so its curve is
+    concave, and it passes a point with a gap of at least shift_gap less the
+    share of a bin; so the area is at least a half plus half of that.
     """
-    return 0.5 + (spec.shift_gap - 1 / QUANTILES) / 2 - 0.02
+    return 0.5 + (spec.shift_gap - 1 / QUANTILES) / 2 - 1e-9
 
 
 def load_issues(rows: DataFrame, spec: ProfileSpec) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(issues, profiles, model): load issues (column_name, issue, load_id), the profile and the model's figures.
 
     missing: blank share over the limit; constant: at least min_valid valid
-    values, all the same; shift: the model tells the load from the one before
-    by that column, and the exact gap is over the limit. Rows without a load
-    take no part here; empty tables give no rows.
+    values, all the same; shift: the classifier tells the load from the one
+    before by that column (cross-fitted, by ablation, or fitted), and the exact
+    gap is over the limit. The first two may miss a shift between loads of few
+    rows, the last can't (screen_auc). Rows without a load take no part here;
+    empty tables give no rows.
     """
+    from .load_classifier import discrimination
+
     counts = work_table(value_counts(rows, spec), "value-counts")
     profiles = work_table(load_profiles(counts), "load-profiles")
     pairs = load_pairs(profiles)
@@ -253,7 +145,9 @@ def load_issues(rows: DataFrame, spec: ProfileSpec) -> tuple[DataFrame, DataFram
     held = profiles.where("load is not null")
     miss = held.where(F.col("blank") / F.col("rows") > spec.missing_share).select(F.col("col").alias("column_name"), F.lit("missing").alias("issue"), F.col("load").alias("load_id"))
     const = held.where((F.col("valid") >= spec.min_valid) & (F.col("distinct") == 1)).select(F.col("col").alias("column_name"), F.lit("constant").alias("issue"), F.col("load").alias("load_id"))
-    suspects = model.where(F.greatest("auc_fitted", "auc_alone") >= screen_auc(spec)).select("load", "prev", "col")
+    ablated = F.col("auc_all") - F.col("auc_without") >= spec.ablated
+    told = (F.col("auc_alone") >= spec.tell_apart) | ablated | (F.col("auc_fitted") >= screen_auc(spec))
+    suspects = model.where(told).select("load", "prev", "col")
     gaps = largest_gaps(counts, suspects)
     over = F.col("cross").cast("double") / (F.col("n1").cast("double") * F.col("n0")) > spec.shift_gap
     shift = gaps.where((F.col("n1") >= spec.min_valid) & (F.col("n0") >= spec.min_valid) & over).select(F.col("col").alias("column_name"), F.lit("shift").alias("issue"), F.col("load").alias("load_id")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cell
 from ..operators import codebook_tables, copy_diff, nested_records, orphan_refs, quality_profile, schema_drift
-from ..session import once, shared_dir, table
+from ..session import once, shared_dir, table, work_table
 
 RECORDS = "block_10_household_loan_records"
 EXPORT = "block_10_household_loan_export"
@@ -67,7 +67,7 @@ def _profile_spec(spark: SparkSession, d: str) -> quality_profile.ProfileSpec:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     spec = _profile_spec(spark, d)
-    rows = quality_profile.classified(table(spark, d, RECORDS), spec)
+    rows = work_table(quality_profile.classified(table(spark, d, RECORDS), spec), "classified")
     issues, _, _ = quality_profile.load_issues(rows, spec)
     shape = lambda df, name, load, rec: df.select(F.lit(name).alias("table_name"), "column_name", "issue", load.alias("load_id"), rec.cast("long").alias("rec_no"))
     return (
@@ -92,7 +92,7 @@ def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
 def p3_shifts(spark: SparkSession, d: str) -> DataFrame:
     """The model's figures for each load against its forerunner; no SQL states them."""
     spec = _profile_spec(spark, d)
-    rows = quality_profile.classified(table(spark, d, RECORDS), spec)
+    rows = work_table(quality_profile.classified(table(spark, d, RECORDS), spec), "classified")
     return quality_profile.load_issues(rows, spec)[2].select(F.col("load").alias("load_id"), F.col("prev").alias("prev_load_id"), F.col("col").alias("column_name"), "auc_all", "auc_without", "auc_alone", "auc_fitted")
 
 

@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import pytest
-from loomfield.operators.quality_profile import ProfileSpec, bound_issues, bound_profiles, cell_violations, classified, discrimination, load_issues, load_pairs, load_profiles, screen_auc, value_counts
+from loomfield.operators.quality_profile import ProfileSpec, bound_issues, bound_profiles, cell_violations, classified, load_issues, load_pairs, load_profiles, screen_auc, value_counts
+from loomfield.operators.load_classifier import discrimination
+from loomfield.operators.running import running_sums
 
 SPEC = ProfileSpec({"x": (0.0, 1000.0), "w": (None, None)})
 S = "rec_no long, load_id string, office string, load_seq int, x string, w string"
@@ -44,7 +46,7 @@ def test_shifts_are_all_found(spark, seed):
     for r in model.where("col = 'x'").collect():
         o, s = map(int, r["load"][1:].split("-"))
         gap = ks(vals[o, s], vals[o, s - 1]) if vals[o, s] and vals[o, s - 1] else 0
-        assert r["auc_fitted"] >= 0.5 + (gap - 1 / 16) / 2 - 0.02
+        assert r["auc_fitted"] >= 0.5 + (gap - 1 / 16) / 2 - 1e-9
     assert 0.5 < screen_auc(SPEC) < 0.6
 
 
@@ -87,3 +89,34 @@ def test_profiles_of_bounds(spark):
     issues = [tuple(r) for r in bound_issues(df).collect()]
     assert got["rng_min"][2] == sum(i == "inverted" for _, i, _ in issues) and got["rng_max"][3] == sum(i == "too_wide" for _, i, _ in issues)
     assert bound_profiles(df.limit(0)).count() == 0
+
+
+def test_running_sums_over_many_ranges(spark):
+    """One group over all ranges, others within one; against sums in a loop."""
+    r = random.Random(2)
+    rows = sorted({("hot" if r.random() < 0.7 else r.choice("abc"), r.randrange(10_000)) for _ in range(3_000)})
+    rows = [(k, v, r.randrange(5)) for k, v in rows]
+    got = {(x["k"], x["v"]): (x["cum_n"], x["all_n"]) for x in running_sums(spark.createDataFrame(rows, "k string, v int, n long"), ["k"], "v", ["n"]).collect()}
+    total, seen = {}, {}
+    for k, _, n in rows:
+        total[k] = total.get(k, 0) + n
+    for k, v, n in rows:
+        seen[k] = seen.get(k, 0) + n
+        assert got[k, v] == (seen[k], total[k])
+    assert len(got) == len(rows)
+
+
+def test_many_columns_and_a_change_seen_only_jointly(spark):
+    """Thirty columns: the model of all sums up small changes, and ablation names the column that changed most."""
+    r = random.Random(9)
+    spec = ProfileSpec({f"c{i}": (None, None) for i in range(30)})
+    rows = []
+    for s in (1, 2):
+        for i in range(600):
+            rows.append((s * 1000 + i, f"L{s}", "o", s, *[str(int(r.gauss(500 + (s == 2) * (400 if c == 7 else 60 if c % 3 == 0 else 0), 200))) for c in range(30)]))
+    df = spark.createDataFrame(rows, "rec_no long, load_id string, office string, load_seq int, " + ", ".join(f"c{i} string" for i in range(30)))
+    c = classified(df, spec)
+    counts = value_counts(c, spec)
+    got = {x["col"]: x for x in discrimination(c, counts, load_pairs(load_profiles(counts)), spec).collect()}
+    assert len(got) == 30 and got["c7"]["auc_all"] > 0.88 
+    assert min(got.values(), key=lambda x: x["auc_without"])["col"] == "c7" and got["c7"]["auc_all"] - got["c7"]["auc_without"] > 0.1
