@@ -96,9 +96,9 @@ def _log_odds(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _FITS = ("h0", "h1", "f0", "f1", "f2", "f3")
 _HALVES = {"h0": [0, 1], "h1": [2, 3]}
 _PARTS = {**_HALVES, "f0": [0], "f1": [1], "f2": [2], "f3": [3]}
-_MODEL = "pair string, columns array<struct<bins:array<int>,odds:array<array<double>>,auc_alone:double,auc_fitted:double>>, all1 array<long>, all0 array<long>"
+_MODEL = "pair string, columns array<struct<gap:double,valid1:long,valid0:long,bins:array<int>,odds:array<array<double>>,auc_alone:double,auc_fitted:double>>, all1 array<long>, all0 array<long>"
 _MODEL_ARROW = pa.schema([
-    ("pair", pa.string()), ("columns", pa.list_(pa.struct([("bins", pa.list_(pa.int32())), ("odds", pa.list_(pa.list_(pa.float64()))), ("auc_alone", pa.float64()), ("auc_fitted", pa.float64())]))),
+    ("pair", pa.string()), ("columns", pa.list_(pa.struct([("gap", pa.float64()), ("valid1", pa.int64()), ("valid0", pa.int64()), ("bins", pa.list_(pa.int32())), ("odds", pa.list_(pa.list_(pa.float64()))), ("auc_alone", pa.float64()), ("auc_fitted", pa.float64())]))),
     ("all1", pa.list_(pa.int64())), ("all0", pa.list_(pa.int64())),
 ])
 
@@ -111,7 +111,9 @@ def _one_column(at: np.ndarray, p: np.ndarray, q: np.ndarray) -> dict:
     weight = sum(w for _, w in judged)
     whole_p, whole_q = p[ok].sum(1), q[ok].sum(1)
     fitted = _curve(whole_p, whole_q, whole_p / np.maximum(whole_p + whole_q, 1))[0]
-    return {"bins": at.tolist(), "odds": np.stack([odds[n][1] for n in _FITS], 1).tolist(), "auc_alone": sum(a * w for a, w in judged) / weight if weight else 0.5, "auc_fitted": fitted}
+    p_at, q_at, n1, n0 = np.cumsum(whole_p), np.cumsum(whole_q), whole_p.sum(), whole_q.sum()
+    gap = float((np.abs(p_at * n0 - q_at * n1) / (n1 * n0)).max()) if n1 and n0 else 0.0
+    return {"gap": gap, "valid1": int(n1), "valid0": int(n0), "bins": at.tolist(), "odds": np.stack([odds[n][1] for n in _FITS], 1).tolist(), "auc_alone": sum(a * w for a, w in judged) / weight if weight else 0.5, "auc_fitted": fitted}
 
 
 def _column_models(k: int):
@@ -245,13 +247,14 @@ def _model_curves(k: int):
 
 
 def discrimination(rows: DataFrame, counts: DataFrame, pairs: DataFrame, spec: ProfileSpec) -> DataFrame:
-    """(load, prev, col, auc_all, auc_without, auc_alone, auc_fitted) of each pair of loads and column.
+    """(load, prev, col, auc_all, auc_without, auc_alone, auc_fitted, edge_gap, valid1, valid0) of each pair of loads and column.
 
     auc_all, auc_without and auc_alone are cross-fitted: the model of all
     columns, the same without the column, and the column's own, the last over
     valid values. auc_fitted is the own model's on the values it was fitted to.
     At some edge of the bins the gap between the loads' cumulative shares is
-    within a sixteenth of its maximum, which bounds auc_fitted from below.
+    within a sixteenth of its maximum, which bounds auc_fitted from below. edge_gap is the largest at the edges,
+    exact as the bins' counts are; valid1 and valid0 count valid values.
     """
     k = len(spec.columns)
     sides = work_table(_sides(pairs, bin_edges(counts), spec.columns), "pair-edges")
@@ -274,6 +277,6 @@ def discrimination(rows: DataFrame, counts: DataFrame, pairs: DataFrame, spec: P
     at = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")
     got = models.select("pair", "columns").join(curves, "pair", "left").select("pair", "columns", "auc", at)
     alone = lambda c: F.get("columns", F.col("i"))[c].alias(c)
-    got = got.select(F.col("pair").alias("load"), F.get(F.array(*[F.lit(c) for c in spec.columns]), F.col("i")).alias("col"), F.get("auc", F.lit(0)).alias("auc_all"), F.get("auc", F.col("i") + 1).alias("auc_without"), alone("auc_alone"), alone("auc_fitted"))
+    got = got.select(F.col("pair").alias("load"), F.get(F.array(*[F.lit(c) for c in spec.columns]), F.col("i")).alias("col"), F.get("auc", F.lit(0)).alias("auc_all"), F.get("auc", F.col("i") + 1).alias("auc_without"), alone("auc_alone"), alone("auc_fitted"), alone("gap"), alone("valid1"), alone("valid0"))
     half_if_none = lambda c: F.coalesce(c, F.lit(0.5)).alias(c)
-    return pairs.join(got, "load").select("load", "prev", "col", *map(half_if_none, ("auc_all", "auc_without", "auc_alone", "auc_fitted")))
+    return pairs.join(got, "load").select("load", "prev", "col", *map(half_if_none, ("auc_all", "auc_without", "auc_alone", "auc_fitted")), F.col("gap").alias("edge_gap"), "valid1", "valid0")

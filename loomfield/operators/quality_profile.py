@@ -132,7 +132,7 @@ def load_issues(rows: DataFrame, spec: ProfileSpec) -> tuple[DataFrame, DataFram
     missing: blank share over the limit; constant: at least min_valid valid
     values, all the same; shift: the classifier tells the load from the one
     before by that column (cross-fitted, by ablation, or fitted), and the exact
-    gap is over the limit. The first two may miss a shift between loads of few
+    gap is over the limit, at an edge of the bins or between two. The first two may miss a shift between loads of few
     rows, the last can't (screen_auc). Rows without a load take no part here;
     empty tables give no rows.
     """
@@ -147,10 +147,13 @@ def load_issues(rows: DataFrame, spec: ProfileSpec) -> tuple[DataFrame, DataFram
     const = held.where((F.col("valid") >= spec.min_valid) & (F.col("distinct") == 1)).select(F.col("col").alias("column_name"), F.lit("constant").alias("issue"), F.col("load").alias("load_id"))
     ablated = F.col("auc_all") - F.col("auc_without") >= spec.ablated
     told = (F.col("auc_alone") >= spec.tell_apart) | ablated | (F.col("auc_fitted") >= screen_auc(spec))
-    suspects = model.where(told).select("load", "prev", "col")
-    gaps = largest_gaps(counts, suspects)
+    enough = (F.col("valid1") >= spec.min_valid) & (F.col("valid0") >= spec.min_valid)
+    suspects = model.where(told & enough)
+    # between two edges the gap is within a bin's share of that at the edges, so few pairs are still open
+    open_ = suspects.where((F.col("edge_gap") <= spec.shift_gap) & (F.col("edge_gap") + 1 / QUANTILES > spec.shift_gap)).select("load", "prev", "col")
     over = F.col("cross").cast("double") / (F.col("n1").cast("double") * F.col("n0")) > spec.shift_gap
-    shift = gaps.where((F.col("n1") >= spec.min_valid) & (F.col("n0") >= spec.min_valid) & over).select(F.col("col").alias("column_name"), F.lit("shift").alias("issue"), F.col("load").alias("load_id")).distinct()
+    shifted = suspects.where(F.col("edge_gap") > spec.shift_gap).select("load", "col").unionByName(largest_gaps(counts, open_).where(over).select("load", "col"))
+    shift = shifted.select(F.col("col").alias("column_name"), F.lit("shift").alias("issue"), F.col("load").alias("load_id")).distinct()
     return miss.unionByName(const).unionByName(shift), profiles, model
 
 
