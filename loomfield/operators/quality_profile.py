@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import double_text
 from ..functions.text import cell
 from ..session import pick, work_table
 from .running import running_sums
@@ -180,3 +181,32 @@ def bound_profiles(vars_: DataFrame) -> DataFrame:
         F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.sum("inverted").alias("inverted"), F.sum("too_wide").alias("too_wide"),
         F.count("v").alias("distinct"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
     )
+
+
+def _as_text(name: str, kind: str) -> Column:
+    c = F.col(f"`{name}`")
+    if kind.startswith("timestamp"):
+        return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(""))
+    return double_text(c.cast("double")) if kind in ("double", "float") else cell(c.cast("string"))
+
+
+def column_profiles(df: DataFrame) -> DataFrame:
+    """Of every column: (column_name, n_rows, missing, n_distinct, lowest, highest, longest, whole_numbers, other_numbers).
+
+    Values are trimmed texts; null, blank and NaN are missing. lowest and
+    highest go by letters, longest is in letters. Two steps: equal values of a
+    column are counted, on the map side first, so that repeated values are
+    small when they move; then each column is summed up. An empty table gives
+    no rows. Columns are told apart by place, so their names may clash.
+    """
+    names, kinds = df.columns, [t for _, t in df.dtypes]
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), _as_text(f"c{i}", t).alias("v")) for i, t in enumerate(kinds)])
+    counts = plain.select(F.inline(cells)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    v, n = F.nullif(F.col("v"), F.lit("")), F.col("n")
+    of = lambda cond: F.sum(F.when(cond, n).otherwise(0))
+    per = counts.groupBy("i").agg(
+        F.sum("n").alias("n_rows"), of(F.col("v") == "").alias("missing"), F.count(v).alias("n_distinct"), F.min(v).alias("lowest"), F.max(v).alias("highest"),
+        F.max(F.char_length(v)).cast("long").alias("longest"), of(v.rlike("^-?[0-9]+$")).alias("whole_numbers"), of(v.rlike(r"^-?[0-9]+\.[0-9]+$")).alias("other_numbers"),
+    )
+    return per.select(F.get(F.array(*[F.lit(x) for x in names]), F.col("i")).alias("column_name"), "n_rows", "missing", "n_distinct", "lowest", "highest", "longest", "whole_numbers", "other_numbers")

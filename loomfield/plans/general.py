@@ -84,6 +84,24 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("load").alias("load_id"), F.col("col").alias("column_name"), F.col("rows").alias("n_rows"), "blank", F.col("pattern").alias("bad_pattern"), F.col("range").alias("out_of_range"), "valid", F.col("distinct").alias("n_distinct"), "lowest", "highest")
 
 
+_PROFILED = {
+    RECORDS: ["rec_no", "Hhold_key", *[f"B10_q{i}" for i in range(1, 7)], "Wgt1_strm", "sub_round", "office", "load_id", "load_seq", "loaded_at"],
+    EXPORT: ["line_no", "Hhold_key", *[f"B10_q{i}" for i in range(1, 7)], "Wgt1_strm"],
+    HOUSEHOLDS: ["rec_no", "Hhold_key", "State_cd", "B1_q4", "B1_q7", "B1_q9", "B1_q12", "Wgt1_strm", "sub_round", "loaded_at", "deleted_at"],
+    PERSONS: ["rec_no", "Hhold_key", *[f"B41_q{i}" for i in range(1, 10)], "Wgt1_strm", "sub_round", "loaded_at"],
+    "ddi_variables": ["rec_no", "delivery_id", "series_id", "round_no", "fid", "ddi_pos", "name", "label", "type", "ddi_width", "dcml", "rng_min", "rng_max", "loaded_at"],
+}
+
+
+def p3_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of the survey tables and of the delivered variables."""
+    out = None
+    for t in _PROFILED:
+        one = quality_profile.column_profiles(table(spark, d, t)).select(F.lit(t).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
     p = quality_profile.bound_profiles(table(spark, d, "ddi_variables"))
     return p.select("column_name", F.col("rows").alias("n_rows"), "missing", "inverted", "too_wide", F.col("distinct").alias("n_distinct"), "lowest", "highest")
@@ -157,7 +175,7 @@ def p5_file_changes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "version int, change string, old_path string, new_path string")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_per_field, p1_ranges, p2_found, p2_files, p2_variables, p2_categories, p2_refused, p3_found, p3_profile, p3_bounds, p3_shifts, p4_found, p4_report, p5_found, p5_per_change, p5_table, p5_unified_files, p5_file_changes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_per_field, p1_ranges, p2_found, p2_files, p2_variables, p2_categories, p2_refused, p3_found, p3_profile, p3_columns, p3_bounds, p3_shifts, p4_found, p4_report, p5_found, p5_per_change, p5_table, p5_unified_files, p5_file_changes)}
 
 # --- SQL ------------------------------------------------------------------------------------------
 
@@ -245,11 +263,24 @@ UNION ALL SELECT g.series_id, g.fid, g.round_no, 'removed', g.name FROM gone g A
 UNION ALL SELECT n.series_id, n.fid, n.round_no, 'added', n.name FROM come n ANTI JOIN ren USING (series_id, round_no, fid, name))
 """
 
+def _column_sql(t: str, c: str) -> str:
+    if c.endswith("_at"):
+        v = f"coalesce(strftime({c}, '%Y-%m-%d %H:%M:%S.%f'), '')"
+    elif c.startswith("rng_"):
+        v = f"CASE WHEN {c} IS NULL OR isnan({c}) THEN '' WHEN {c} = trunc({c}) THEN CAST(CAST({c} AS HUGEINT) AS VARCHAR) ELSE regexp_replace(rtrim(printf('%.6f', {c}), '0'), '\\.$', '') END"
+    else:
+        v = _cell(f"CAST({c} AS VARCHAR)")
+    whole, part = "regexp_full_match(v, '-?[0-9]+')", "regexp_full_match(v, '-?[0-9]+\\.[0-9]+')"
+    return f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (v = '') AS missing, count(DISTINCT nullif(v, '')) AS n_distinct, min(nullif(v, '')) AS lowest, max(nullif(v, '')) AS highest,
+      max(length(nullif(v, ''))) AS longest, count(*) FILTER ({whole}) AS whole_numbers, count(*) FILTER ({part}) AS other_numbers FROM (SELECT {v} AS v FROM {t})"""
+
+
 ORACLE = {
     "p1_found": _P1,
     "p1_per_field": f"SELECT diff, field, count(*) AS loans FROM ({_P1}) GROUP BY ALL",
     "p3_found": _P3,
     "p3_profile": f"WITH c AS ({_CLASSED}), {_PROFILE} SELECT load_id, col AS column_name, n_rows, blank, bad_pattern, out_of_range, valid, n_distinct, lowest, highest FROM p",
+    "p3_columns": " UNION ALL ".join(_column_sql(t, c) for t, cs in _PROFILED.items() for c in cs),
     "p3_bounds": """WITH b AS (SELECT 'rng_min' AS column_name, CASE WHEN NOT isnan(rng_min) THEN rng_min END AS v, rng_min > rng_max AND NOT isnan(rng_min) AS inv, false AS wide FROM ddi_variables
 UNION ALL SELECT 'rng_max', CASE WHEN NOT isnan(rng_max) THEN rng_max END, false, rng_max >= pow(10, ddi_width) AND NOT isnan(rng_max) FROM ddi_variables)
 SELECT column_name, count(*) AS n_rows, count(*) FILTER (v IS NULL) AS missing, count(*) FILTER (inv) AS inverted, count(*) FILTER (wide) AS too_wide,

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from loomfield.operators.quality_profile import ProfileSpec, bound_issues, bound_profiles, cell_violations, classified, load_issues, load_pairs, load_profiles, screen_auc, value_counts
+from loomfield.operators.quality_profile import ProfileSpec, bound_issues, bound_profiles, cell_violations, column_profiles, classified, load_issues, load_pairs, load_profiles, screen_auc, value_counts
 from loomfield.operators.load_classifier import discrimination
 from loomfield.operators.running import running_sums
 
@@ -120,3 +120,11 @@ def test_many_columns_and_a_change_seen_only_jointly(spark):
     got = {x["col"]: x for x in discrimination(c, counts, load_pairs(load_profiles(counts)), spec).collect()}
     assert len(got) == 30 and got["c7"]["auc_all"] > 0.88 
     assert min(got.values(), key=lambda x: x["auc_without"])["col"] == "c7" and got["c7"]["auc_all"] - got["c7"]["auc_without"] > 0.1
+
+
+def test_every_column_is_profiled(spark):
+    rows = [("a ", 1, 1.5, None), (None, 1, float("nan"), None), (" ", None, 2.0, None), ("10", 3, None, None), ("-2.50", 3, None, None)]
+    df = spark.createDataFrame(rows, "x string, X int, y double, z timestamp_ntz")
+    got = {r[0]: tuple(r)[1:] for r in column_profiles(df).collect()}
+    assert got == {"x": (5, 2, 3, "-2.50", "a", 5, 1, 1), "X": (5, 1, 2, "1", "3", 1, 4, 0), "y": (5, 3, 2, "1.5", "2", 3, 1, 1), "z": (5, 5, 0, None, None, None, 0, 0)}
+    assert column_profiles(df.limit(0)).count() == 0
