@@ -2,7 +2,8 @@
 
 Every word of a document is a trial. Names and first words, told by their capital,
 are none, but in a language that capitals all nouns a capital tells nothing and
-every word counts. Items are the words themselves and, per
+every word counts. Languages and their capitals are learned from the corpus
+(languages). Items are the words themselves and, per
 language, "longer than m letters". The chance that a trial meets an item goes up
 or down with the document's latent level theta: log-odds (or log rate) kappa +
 beta * theta, so an item's difficulty is -kappa / beta. Length items carry the
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pick, spread, work_table
+from .languages import Languages, learn_languages
 from .wikitext import prose_sentences
 
 GRID = np.arange(1.0, 4.01, 0.5)
@@ -39,21 +41,6 @@ CENTRED = GRID - GRID.mean()
 LENGTHS = range(3, 16)
 N_LEN = len(LENGTHS)
 
-# Frequent function words that tell the languages apart.
-FUNCTION_WORDS = {
-    "en": "the a an and of in to by for with from its this another one",
-    "de": "der die das ein eine und mit von aus bei dieser jede",
-    "fr": "le la les un une de des dans pour sur sous chaque ce avec",
-    "es": "el la los las un una en de con por para este cada desde bajo",
-}
-LANGUAGES = [*FUNCTION_WORDS, "other"]
-# The languages of these that write nouns with a capital.
-NOUN_CAPITALS = frozenset({"de"})
-_FUNCTION = [frozenset(v.split()) for v in FUNCTION_WORDS.values()]
-# Items of fixed number: lengths per language, then trials per language.
-TRIALS0 = len(LANGUAGES) * N_LEN
-N_FIXED = TRIALS0 + len(LANGUAGES)
-
 
 @dataclass(frozen=True)
 class LevelSpec:
@@ -83,16 +70,15 @@ class Params:
 # --- counts of a document -----------------------------------------------------------------------
 
 
-def describe(text: str, min_words: int) -> tuple | None:
+def describe(text: str, min_words: int, languages: Languages) -> tuple | None:
     """(prose words, language, trials, distinct words in one, their bytes, their counts, counts of lengths); None for too little prose."""
     sentences = prose_sentences(text)
     n = sum(map(len, sentences))
     if n < min_words:
         return None
     lows = Counter(w for s in sentences for w in s if w[0].isalpha() and not w[0].isupper())
-    marks = [sum(lows[w] for w in ws if w in lows) for ws in _FUNCTION]
-    lang = int(np.argmax(marks)) if max(marks) > 0 else len(LANGUAGES) - 1
-    if LANGUAGES[lang] in NOUN_CAPITALS:
+    lang = languages.of(lows)
+    if lang in languages.nouns:
         lows = Counter(w.lower() for s in sentences for w in s if w[0].isalpha())
     longer = np.zeros(N_LEN, np.int64)
     for w, c in lows.items():
@@ -109,12 +95,12 @@ _DOC_ARROW = pa.schema([
 ])
 
 
-def described(docs: DataFrame, doc_id: str, text: str, spec: LevelSpec) -> DataFrame:
+def described(docs: DataFrame, doc_id: str, text: str, spec: LevelSpec, languages: Languages) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for d, t in zip(b["d"].to_pylist(), b["t"]):
-                if (x := describe(t.as_py(), spec.min_words)) is not None:
+                if (x := describe(t.as_py(), spec.min_words, languages)) is not None:
                     rows.append((d, *x))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DOC_ARROW)], schema=_DOC_ARROW)
@@ -172,7 +158,7 @@ def label_loglik(labels: list, error: dict[str, float], usual: float) -> np.ndar
 _SUMS = ", ".join(["kind string", "item string", *[f"m{k} double" for k in range(K)]])
 
 
-def _sums(params: Params | None, error: dict[str, float], weight: float, spec: LevelSpec, labelled: bool):
+def _sums(params: Params | None, error: dict[str, float], weight: float, spec: LevelSpec, labelled: bool, n_langs: int):
     """Per batch: posterior-weighted counts of every item at every level; of raters their errors and labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +173,11 @@ def _sums(params: Params | None, error: dict[str, float], weight: float, spec: L
                 ll = ll + label_loglik(labels, error, spec.rater_error)
             post = _normal(ll) * weight
             words = np.stack([np.bincount(i, c * post[d, k], len(own)) for k in range(K)], 1)
-            fixed = np.zeros((N_FIXED, K))
+            fixed = np.zeros((n_langs * (N_LEN + 1), K))  # lengths per language, then trials per language
             for g in np.unique(lang):
                 of = lang == g
                 fixed[g * N_LEN : (g + 1) * N_LEN] = longer[of].T @ post[of]
-                fixed[TRIALS0 + g] = trials[of] @ post[of]
+                fixed[n_langs * N_LEN + g] = trials[of] @ post[of]
             raters: dict[str, np.ndarray] = {}
             if labelled:
                 for row, p in zip(labels, post):
@@ -200,8 +186,8 @@ def _sums(params: Params | None, error: dict[str, float], weight: float, spec: L
                         r[0] += x["times"] * (p @ np.minimum(np.abs(GRID - x["level"]), 1.0)) / weight
                         r[1] += x["times"]
             m = np.concatenate([words, fixed, *[r[None] for r in raters.values()]])
-            kind = ["word"] * len(own) + ["fixed"] * N_FIXED + ["rater"] * len(raters)
-            item = pa.array(own.to_pylist() + [str(k) for k in range(N_FIXED)] + list(raters), pa.string())
+            kind = ["word"] * len(own) + ["fixed"] * len(fixed) + ["rater"] * len(raters)
+            item = pa.array(own.to_pylist() + [str(k) for k in range(len(fixed))] + list(raters), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), item, *[pa.array(m[:, k]) for k in range(K)]], names=[c.split()[0] for c in _SUMS.split(", ")])
 
     return run
@@ -237,14 +223,14 @@ def fit_odds(m: np.ndarray, trials: np.ndarray, steps: int = 30) -> np.ndarray:
     return k0[:, None] + b0[:, None] * CENTRED
 
 
-def _estimate(sums: DataFrame, spec: LevelSpec) -> Params:
+def _estimate(sums: DataFrame, spec: LevelSpec, n_langs: int) -> Params:
     """Item parameters from the sums, fitted in the cluster; a row for each distinct word and rater reaches the driver."""
     cols = [f"m{k}" for k in range(K)]
     total = work_table(sums.groupBy("kind", "item").agg(*[F.sum(c).alias(c) for c in cols]), "item-sums")
-    fixed = np.zeros((N_FIXED, K))
+    fixed = np.zeros((n_langs * (N_LEN + 1), K))
     for r in total.where("kind = 'fixed'").collect():
         fixed[int(r["item"])] = [r[c] for c in cols]
-    trials = fixed[TRIALS0:]
+    trials = fixed[n_langs * N_LEN :]
     exposure = trials.sum(0) + 1e-9
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +243,7 @@ def _estimate(sums: DataFrame, spec: LevelSpec) -> Params:
     words = total.where("kind = 'word' and " + " + ".join(cols) + " > 0").select("item", *cols).mapInArrow(fit, "item string, kappa double, beta double").toArrow()
     kappa, beta = words["kappa"].to_numpy(), words["beta"].to_numpy()
     norm = np.log(np.exp(kappa[:, None] + beta[:, None] * CENTRED).sum(0)) if len(kappa) else np.zeros(K)
-    length = fit_odds(fixed[:TRIALS0], np.repeat(trials, N_LEN, 0)).reshape(len(LANGUAGES), N_LEN, K)
+    length = fit_odds(fixed[: n_langs * N_LEN], np.repeat(trials, N_LEN, 0)).reshape(n_langs, N_LEN, K)
     raters = total.where("kind = 'rater'").select("item", F.col("m0").alias("off"), F.col("m1").alias("n")).collect()
     error = {r["item"]: float(np.clip((r["off"] + 10 * spec.rater_error) / (r["n"] + 10), 0.02, 0.6)) for r in raters}
     p = Params(words["item"].cast(pa.large_string()).combine_chunks(), kappa, beta, norm, length, error)
@@ -267,16 +253,20 @@ def _estimate(sums: DataFrame, spec: LevelSpec) -> Params:
 # --- the operator ---------------------------------------------------------------------------------
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rater: str = "rater", level: str = "level", spec: LevelSpec = LevelSpec()) -> DataFrame:
+def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rater: str = "rater", level: str = "level", lang: str | None = "lang", spec: LevelSpec = LevelSpec()) -> DataFrame:
     """Rows (doc_id, level, score, n_words, lang) of every document with enough running prose.
 
     level is the nearest whole level to the latent score, in the scale of the
     labels. Labels without document, level or within no document with prose are
     left out; any number of labels per document counts, repeated ones too.
+    lang names a column of unreliable language labels; without it, all texts
+    share their length items.
     Without any usable label there is no scale and level and score are null.
     """
     spark = docs.sparkSession
-    counts = described(docs, doc_id, text, spec)
+    languages = learn_languages(docs, doc_id, text, lang) if lang is not None and lang in docs.columns else Languages()
+    n_langs = len(languages.names)
+    counts = described(docs, doc_id, text, spec, languages)
     labels = pick(labels, doc_id, rater, level)
     marks = labels.select(
         labels[doc_id].cast("long").alias("doc_id"), F.coalesce(labels[rater].cast("string"), F.lit("")).alias("rater"), labels[level].cast("int").alias("level")
@@ -284,19 +274,19 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     marks = marks.groupBy("doc_id", "rater", "level").agg(F.count(F.lit(1)).cast("int").alias("times"))
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("rater", "level", "times")).alias("labels"))
     known = work_table(counts.join(marks, "doc_id"), "labelled-counts")
-    langs = F.array(*[F.lit(x) for x in LANGUAGES])
+    langs = F.array(*[F.lit(x) for x in languages.names])
     lang = F.element_at(langs, F.col("lang") + 1).alias("lang")
     if known.isEmpty():
         return counts.select("doc_id", F.lit(None).cast("long").alias("level"), F.lit(None).cast("double").alias("score"), "n_words", lang)
-    params = _estimate(known.mapInArrow(_sums(None, {}, 1.0, spec, True), _SUMS), spec)
+    params = _estimate(known.mapInArrow(_sums(None, {}, 1.0, spec, True, n_langs), _SUMS), spec, n_langs)
     for _ in range(spec.rounds - 1):
         held = spark.sparkContext.broadcast(params)  # grows with the distinct words, not with the texts
 
         def part(labelled: bool, weight: float, held=held):
-            return lambda it: _sums(held.value, held.value.error, weight, spec, labelled)(it)
+            return lambda it: _sums(held.value, held.value.error, weight, spec, labelled, n_langs)(it)
 
         sums = known.mapInArrow(part(True, 1.0), _SUMS).unionByName(counts.mapInArrow(part(False, spec.unlabelled), _SUMS))
-        params = _estimate(sums, spec)
+        params = _estimate(sums, spec, n_langs)
     held = spark.sparkContext.broadcast(params)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

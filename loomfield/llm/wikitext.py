@@ -91,7 +91,28 @@ _HEADING = re.compile(r"={2,6}[^=\n]+={2,6}")
 _NOT_PROSE = re.compile(r"^[ \t]*[*#:;|!{}=\[<]")
 _EMPHASIS_RUN = re.compile(r"[!?]{3,}")
 _SENTENCE_END = re.compile(r"(?<!\b[A-Z][a-z])(?<!\b[A-Z])[.!?]+(?=\s|$)")
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
+
+
+def _marks() -> str:
+    """Ranges of the marks that are written with a letter and belong to its word."""
+    places = [i for i in range(0x300, 0x10000) if unicodedata.category(chr(i)) in ("Mn", "Mc")]
+    out, first = [], places[0]
+    for a, b in zip(places, [*places[1:], -1]):
+        if b != a + 1:
+            out.append(f"\\u{first:04x}-\\u{a:04x}")
+            first = b
+    return "".join(out)
+
+
+_LETTERS = f"(?:[^\\W\\d_]|[{_marks()}])+"
+_TOKEN = re.compile(rf"{_LETTERS}(?:['’-]{_LETTERS})*|\d+")
+_ASCII_TOKEN = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*|[0-9]+")
+# Letters of scripts that set no spaces between words, with how many of them make a word on average.
+_UNSPACED = [(re.compile("[\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f]"), 2), (re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]"), 4)]
+_UNSPACED_RUN = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]+|[\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f]+")
+_STOP = re.compile(r"[.!?:;,。！？｡]")
+_WIDE_STOP = re.compile("[。！？｡]+")
+LONGEST_WORD = 60
 
 
 def _prose_link(m: re.Match) -> str:
@@ -137,19 +158,36 @@ def prose_sentences(text: str) -> list[list[str]]:
         text = html.unescape(text)
     out = []
     for line in text.split("\n"):
-        if len(line) < 12 or _NOT_PROSE.match(line) or "||" in line or "{{" in line:
+        if _NOT_PROSE.match(line) or "||" in line or "{{" in line:
             continue
-        line = unicodedata.normalize("NFC", line).replace("­", "").replace("​", "")
-        for s in _SENTENCE_END.split(line):
-            words = _TOKEN.findall(s)
-            if len(words) >= 3 and _readable(words):
+        line = unicodedata.normalize("NFC", line).replace("\u00ad", "").replace("\u200b", "")
+        if not _STOP.search(line) and len(_prose_words(line)) < 3:
+            continue  # a word or two that end nowhere are a label, not a sentence
+        for s in _SENTENCE_END.split(line if line.isascii() else _WIDE_STOP.sub(". ", line)):
+            words = _prose_words(s)
+            if words and _readable(words):
                 out.append(words)
     return out
 
 
+def _prose_words(s: str) -> list[str]:
+    """Words as written; a run of letters that sets no spaces is cut into words of the script's usual length, and what is no word is left out."""
+    if s.isascii():
+        words = _ASCII_TOKEN.findall(s)
+    else:
+        words = _TOKEN.findall(_UNSPACED_RUN.sub(_spaced, s))
+    return [w for w in words if len(w) <= LONGEST_WORD] if len(s) > LONGEST_WORD else words
+
+
+def _spaced(m: re.Match) -> str:
+    run = m[0]
+    n = next(n for script, n in _UNSPACED if script.match(run))
+    return " " + " ".join(run[i : i + n] for i in range(0, len(run), n)) + " "
+
+
 def _readable(words: list[str]) -> bool:
-    """Neither shouted nor mashed nor one word over and over."""
+    """Neither shouted nor one word over and over."""
     n = len(words)
-    if sum(w.isupper() and len(w) > 1 for w in words) > n / 2 or max(map(len, words)) > 60:
+    if sum(w.isupper() and len(w) > 1 for w in words) > n / 2:
         return False
     return len({w.lower() for w in words}) > n / 4

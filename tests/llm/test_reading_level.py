@@ -3,7 +3,8 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from loomfield.llm.reading_level import LANGUAGES, LevelSpec, describe, fit_rates, reading_levels
+from loomfield.llm.reading_level import LevelSpec, describe, fit_rates, reading_levels
+from loomfield.llm.languages import Languages, LanguageSpec, learn_languages
 from loomfield.llm.wikitext import prose_sentences
 import numpy as np
 
@@ -91,11 +92,45 @@ def test_runs_before_a_line():
     assert [" ".join(s) for s in prose_sentences(page)] == ["Prose behind a run counts", "So does this line"]
 
 
-def test_german_nouns_are_trials():
-    n, lang, trials, *_ = describe("Der Hund und die Katze von Hamburg sind bei der Verfassungsgerichtsbarkeit. " * 10, 100)
-    assert (n, LANGUAGES[lang], trials) == (110, "de", 110)
-    n, lang, trials, *_ = describe("The dog and the cat of Boston are with a jurisdiction. " * 10, 100)
-    assert (n, LANGUAGES[lang], trials) == (110, "en", 90)
+def test_languages_are_learned_from_labels_that_err(spark):
+    """Function words and capitals of made-up corpora; one label in ten is wrong, some name no language."""
+    r = random.Random(4)
+    words = {"de": ("der die und von bei sind", "Hund Katze Stadt Gericht"), "en": ("the and of with are by", "dog cat town court"), "it": ("il la di con sono per", "cane gatto citta corte"), "ja": ("の は に", "犬 猫")}
+
+    def page(lang):
+        small, nouns = (x.split() for x in words[lang])
+        mark, glue = ("。", "") if lang == "ja" else (". ", " ")
+        return mark.join(glue.join(w for _ in range(6) for w in (r.choice(small), r.choice(nouns))) for _ in range(10)) + mark
+
+    truth = [r.choice(list(words)) for _ in range(300)]
+    label = [r.choices([t, t.upper() + "-x", r.choice(list(words)), "und", None], [70, 15, 10, 3, 2])[0] for t in truth]
+    docs = spark.createDataFrame([(i, page(t), x) for i, (t, x) in enumerate(zip(truth, label))], "doc_id long, text string, lang string")
+    got = learn_languages(docs, "doc_id", "text", "lang")
+    assert got.names == ("de", "en", "it", "ja", "other") and got.nouns == {0}
+    said = [describe(x["text"], 20, got)[1] for x in docs.orderBy("doc_id").collect()]
+    assert [got.names[i] for i in said] == truth
+    assert got.names[describe("Xyz qwe rty uio pas dfg. " * 5, 20, got)[1]] == "other"
+    assert learn_languages(docs.limit(0), "doc_id", "text", "lang") == Languages() and learn_languages(docs, "doc_id", "text", "lang", LanguageSpec(least=500)).names == ("other",)
+
+
+def test_capitals_count_where_they_mark_nouns():
+    langs = Languages(("de", "en", "other"), {"der": np.array([-0.1, -5.0]), "the": np.array([-5.0, -0.1]), "die": np.array([-0.1, -5.0]), "and": np.array([-5.0, -0.1])}, frozenset([0]))
+    n, lang, trials, *_ = describe("Der Hund und die Katze von Hamburg sind bei der Verfassungsgerichtsbarkeit. " * 10, 100, langs)
+    assert (n, langs.names[lang], trials) == (110, "de", 110)
+    n, lang, trials, *_ = describe("The dog and the cat of Boston are with a jurisdiction. " * 10, 100, langs)
+    assert (n, langs.names[lang], trials) == (110, "en", 90)
+
+
+def test_nothing_of_prose_is_lost():
+    """Short lines and sentences, scripts without spaces, and sentences with an overlong word."""
+    words = lambda t: sum(map(len, prose_sentences(t)))
+    assert words("Yes. No.\nThey ran.") == 4 and words("Category") == 0 and words("Two words") == 0
+    assert words("这是一个关于城市的很长的句子。" * 100) == 700 
+    r = random.Random(1)
+    thai = "".join(chr(r.randrange(0xE01, 0xE2F)) + r.choice(["", "", chr(0xE34), chr(0xE48)]) for _ in range(3000))
+    assert words(thai) == -(-len(thai) // 4) and words("हिन्दी में कुछ शब्द।") == 4
+    assert words("A sentence with " + "x" * 80 + " in the middle.") == 6
+    assert describe("这是一个关于城市的很长的句子。" * 100, 100, Languages())[0] == 700
 
 
 def test_words_of_one_checksum_are_two_items(spark):
