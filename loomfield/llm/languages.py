@@ -83,9 +83,12 @@ def learn_languages(docs: DataFrame, doc_id: str, text: str, lang: str, spec: La
     """
     docs = pick(docs, doc_id, text, lang)
     tagged = docs.select(docs[doc_id].cast("long").alias("d"), primary_tag(docs[lang]).alias("tag"), docs[text].alias("t")).where("tag != '' and t is not null and d is not null")
-    sizes = tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("all"))
+    sizes = tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= spec.least).collect()  # codes of two or three letters
+    if not sizes:
+        return Languages(known=spec.known)
     place = F.xxhash64("d").cast("double") / float(1 << 64) + 0.5
-    sample = tagged.join(sizes, "tag").where(place * F.col("all") < spec.documents).select("tag", "t")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["tag"], min(1.0, spec.documents / r["n"]))])
+    sample = tagged.where(place < F.try_element_at(share, F.col("tag"))).select("tag", "t")
     counts = spread(sample).mapInArrow(_word_counts, "tag string, word string, n long").groupBy("tag", "word").agg(F.sum("n").alias("n"))
     whole = counts.where("word = ''").select("tag", F.col("n").alias("docs")).where(F.col("docs") >= spec.least)
     often = counts.join(whole, "tag").where((F.col("n") >= spec.share * F.col("docs")) | F.col("word").isin("", " w", " c"))
