@@ -1,15 +1,19 @@
-"""Filling containers of fixed capacity by bulk-synchronous best fit.
-
-Sizes are whole tokens, so documents sorted by size fall into at most
-`capacity` runs of equal size, and so do containers sorted by gap. All sweeps
-work on these runs: a superstep takes the largest unplaced size and lets all its
-documents look for their successor, the smallest gap that holds them. Documents
-that want the same gap are told apart by rank, the gaps they fill shrink and are
-sorted in again, and the rest looks on. The runs do not grow with the corpus.
-
-What does grow stays in the cluster: ranks of documents within their size come
-from salted groups and their prefix sums, and each document finds its container
-by one vectorised search of its (size, rank) in the runs.
+"""Filling containers of fixed capacity by best fit, over an exact histogram of sizes.
+
+Sizes are whole tokens, so all that best fit needs to know of documents is how
+many there are of each size, and of containers how many there are of each gap.
+A step takes the largest size left, lets its documents find their successor, the
+smallest gap that holds them, and moves as many containers as there are
+documents, or as have that gap, from that gap to what is left of it. Containers
+of one gap are interchangeable whatever is in them: they queue, and those that
+came first are filled first. So a step is a few numbers (Step), and the steps
+grow with the sizes and gaps that occur, not with documents or containers.
+
+What does grow stays in the cluster. Ranks of documents within their size come
+from salted groups and their prefix sums. A document finds its step by its size
+and rank, and so its container's place in the queue of that gap; the step that
+put the container there gives its place in the queue before, and so on back to
+the queue of empty containers, where the place is the container's number.
 """
 
 from __future__ import annotations
@@ -27,54 +31,94 @@ from ..session import parts_for, work_table
 from .tokens import token_counts
 
 CAPACITY = 2_048
-#: Largest capacity whose runs are handled at once.
-MAX_CAPACITY = 1 << 17
 ROWS_PER_SALT = 100_000
 
 _OUT = "container long, place long, doc_id long, piece long, first_token long, n_tokens long"
 
 
 @dataclass(frozen=True)
-class Run:
-    """Items of one size with ranks first.. first+n-1, put in containers container.. (one each) at the same offset."""
+class Step:
+    """Items of one size with ranks first.. first+n-1 go to the containers at places taken.. of gap's queue, which move to places came.. of the queue of gap - size."""
 
     size: int
     first: int
     n: int
-    container: int
-    place: int
+    gap: int
+    taken: int
+    came: int
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int) -> tuple[list[Run], int]:
-    """Where each run of equal items goes, and the number of containers.
+def best_fit_steps(counts: dict[int, int], capacity: int) -> tuple[list[Step], int]:
+    """The steps by which all items are placed, and the number of containers.
 
     Largest sizes first; each item takes the tightest gap that holds it, and
-    a container is opened only when no gap does. Items of size 0 take no
-    room: they all lie in container 0 behind its other items.
+    containers are opened only when no gap does, as many as its size needs.
+    Items of size 0 take no room and no step.
     """
-    gaps: list[tuple[int, int, int, int]] = []  # (gap, first container, containers, items inside), sorted
-    runs: list[Run] = []
+    gaps: list[int] = []  # with containers in their queue, ascending
+    came: dict[int, int] = {}
+    taken: dict[int, int] = {}
+    steps: list[Step] = []
     opened = 0
+
+    def arrive(gap: int, n: int) -> int:
+        at = came.get(gap, 0)
+        if gap > 0 and at == taken.get(gap, 0):
+            insort(gaps, gap)
+        came[gap] = at + n
+        return at
+
     for size in sorted((s for s in counts if s > 0), reverse=True):
         if size > capacity:
             raise ValueError(f"an item of {size} exceeds the capacity {capacity}")
         left, rank = counts[size], 0
         while left:
-            i = bisect_left(gaps, (size,))
+            i = bisect_left(gaps, size)
             if i == len(gaps):
                 new = -(-left // (capacity // size))
-                gaps.append((capacity, opened, new, 0))
+                arrive(capacity, new)
                 opened += new
                 continue
-            gap, first, n, inside = gaps.pop(i)
-            take = min(left, n)
-            runs.append(Run(size, rank, take, first, inside))
-            if take < n:
-                insort(gaps, (gap, first + take, n - take, inside))
-            if gap > size:
-                insort(gaps, (gap - size, first, take, inside + 1))
-            left, rank = left - take, rank + take
-    return runs, opened
+            gap = gaps[i]
+            at = taken.get(gap, 0)
+            n = min(left, came[gap] - at)
+            taken[gap] = at + n
+            if taken[gap] == came[gap]:
+                gaps.pop(i)
+            steps.append(Step(size, rank, n, gap, at, arrive(gap - size, n)))
+            left, rank = left - n, rank + n
+    return steps, opened
+
+
+class Places:
+    """Looks up containers by (size, rank), for arrays of them."""
+
+    def __init__(self, steps: list[Step], capacity: int):
+        col = lambda f, by: np.array([f(x) for x in by], np.int64)
+        by_rank = sorted(steps, key=lambda x: (x.size, x.first))
+        by_queue = sorted(steps, key=lambda x: (x.gap - x.size, x.came))
+        self.capacity = capacity
+        self.bits = max([1, *(int(x).bit_length() for s in steps for x in (s.first + s.n, s.came + s.n))])
+        if self.bits + int(capacity).bit_length() > 62:
+            raise ValueError("too many items of one size")
+        self.key, self.first = col(lambda x: (x.size << self.bits) | x.first, by_rank), col(lambda x: x.first, by_rank)
+        self.gap, self.taken = col(lambda x: x.gap, by_rank), col(lambda x: x.taken, by_rank)
+        self.q_key, self.q_came = col(lambda x: ((x.gap - x.size) << self.bits) | x.came, by_queue), col(lambda x: x.came, by_queue)
+        self.q_gap, self.q_taken = col(lambda x: x.gap, by_queue), col(lambda x: x.taken, by_queue)
+
+    def of(self, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(container, place in it) of items of some size above 0."""
+        i = np.searchsorted(self.key, (size << self.bits) | rank, side="right") - 1
+        gap, at = self.gap[i], self.taken[i] + rank - self.first[i]
+        place = np.zeros(len(size), np.int64)
+        todo = np.flatnonzero(gap < self.capacity)
+        while len(todo):  # one item back in each container
+            i = np.searchsorted(self.q_key, (gap[todo] << self.bits) | at[todo], side="right") - 1
+            at[todo] += self.q_taken[i] - self.q_came[i]
+            gap[todo] = self.q_gap[i]
+            place[todo] += 1
+            todo = todo[gap[todo] < self.capacity]
+        return at, place
 
 
 def _pieces(sizes: DataFrame, capacity: int) -> DataFrame:
@@ -94,8 +138,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     container's items from 0. Null and empty texts have no tokens and lie in
     container 0. Repeated rows are packed each; an empty table gives no rows.
     """
-    if not 0 < capacity <= MAX_CAPACITY:
-        raise ValueError(f"capacity must be between 1 and {MAX_CAPACITY}")
+    if capacity < 1:
+        raise ValueError("capacity must be at least 1")
     sizes = work_table(token_counts(docs, doc_id, text, vocabulary), "token-counts")
     return pack_sizes(sizes, capacity)
 
@@ -107,36 +151,38 @@ def pack_sizes(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items = _pieces(sizes, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     groups = work_table(items.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")), "size-groups")
     counts = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
-    runs, _ = best_fit_runs(counts, capacity)
+    steps, _ = best_fit_steps(counts, capacity)
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select("size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("size", "salt").orderBy("doc_id", "piece")
     ranked = items.withColumn("rank", F.row_number().over(own)).join(offsets, ["size", "salt"])
     ranked = ranked.select("doc_id", "piece", "first_token", "size", (F.col("base") + F.col("rank") - 1).alias("rank"))
-
-    runs = sorted(runs, key=lambda r: (r.size, r.first))
-    col = lambda f: np.array([f(r) for r in runs], np.int64)
-    r_size, r_first, r_cont, r_place = col(lambda r: r.size), col(lambda r: r.first), col(lambda r: r.container), col(lambda r: r.place)
-    rank_bits = max(1, int(max(counts.values(), default=1)).bit_length())
-    if rank_bits + int(capacity).bit_length() > 62:
-        raise ValueError("too many items of one size")
-    r_key = (r_size << rank_bits) | r_first
-    zero_base = 1 + max((r.place for r in runs if r.container <= 0 < r.container + r.n), default=-1)
+    places = Places(steps, capacity)
+    behind = sum(1 for _ in _inside_first(steps, capacity))  # items without tokens lie behind container 0's others
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, rank = b["size"].to_numpy(), b["rank"].to_numpy()
-            container, at = np.zeros(len(size), np.int64), zero_base + rank
+            container, at = np.zeros(len(size), np.int64), behind + rank
             full = size > 0
             if full.any():
-                i = np.searchsorted(r_key, (size[full] << rank_bits) | rank[full], side="right") - 1
-                container[full] = r_cont[i] + rank[full] - r_first[i]
-                at[full] = r_place[i]
+                container[full], at[full] = places.of(size[full], rank[full])
             yield pa.RecordBatch.from_arrays([pa.array(container), pa.array(at), b["doc_id"], b["piece"], b["first_token"], b["size"]], names=[c.split()[0] for c in _OUT.split(", ")])
 
     return ranked.mapInArrow(place, _OUT)
 
 
+def _inside_first(steps: list[Step], capacity: int) -> Iterator[Step]:
+    """The steps that put an item into container 0."""
+    gap, at = capacity, 0
+    while True:
+        step = next((x for x in steps if x.gap == gap and x.taken <= at < x.taken + x.n), None)
+        if step is None:
+            return
+        yield step
+        gap, at = gap - step.size, step.came + at - step.taken
+
+
 def packing_summary(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, items, tokens, unused tokens and the share of capacity used."""
     per = packed.groupBy("container").agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("tokens"))

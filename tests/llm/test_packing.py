@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
-from loomfield.llm.packing import best_fit_runs, pack, pack_sizes, packing_summary
+from loomfield.llm.packing import Places, best_fit_steps, pack, pack_sizes, packing_summary
 from loomfield.llm.tokens import encoder, default_vocabulary
 
 
@@ -42,13 +44,27 @@ def test_as_tight_as_item_by_item(seed):
     r = random.Random(seed)
     cap = r.choice([10, 64, 100])
     sizes = [r.randint(1, cap) for _ in range(r.randrange(200))]
-    runs, opened = best_fit_runs({s: sizes.count(s) for s in set(sizes)}, cap)
-    assert sum(x.n for x in runs) == len(sizes) and opened <= brute_best_fit(sizes, cap)
-    load = {}
-    for x in runs:
-        for c in range(x.container, x.container + x.n):
-            load[c] = load.get(c, 0) + x.size
-    assert len(load) == opened and max(load.values(), default=0) <= cap
+    counts = Counter(sizes)
+    steps, opened = best_fit_steps(counts, cap)
+    assert sum(x.n for x in steps) == len(sizes) and opened <= brute_best_fit(sizes, cap)
+    places, load, inside = Places(steps, cap), Counter(), Counter()
+    for size, n in counts.items():
+        container, place = places.of(np.full(n, size), np.arange(n))
+        for c, p in zip(container.tolist(), place.tolist()):
+            load[c] += size
+            inside[c, p] += 1
+    assert set(load) == set(range(opened)) and max(load.values(), default=0) <= cap and set(inside.values()) <= {1}
+    assert all((c, p - 1) in inside for c, p in inside if p)
+
+
+@pytest.mark.parametrize("capacity", [2_048, 8_192, 32_768])
+def test_steps_grow_with_sizes_and_gaps(capacity):
+    """Two million items whose sizes fall off like those of texts: steps do not grow with them."""
+    r = np.random.default_rng(1)
+    sizes = np.minimum(capacity, np.exp(r.normal(np.log(capacity) - 2.3, 1.2, 200_000)).astype(int) + 1)
+    few = {int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True))}
+    counts = [len(best_fit_steps({s: n * k for s, n in few.items()}, capacity)[0]) for k in (1, 10)]
+    assert max(counts) < 8 * capacity and counts[1] < 1.5 * counts[0], counts
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -74,4 +90,4 @@ def test_texts(spark):
     only_empty = pack(df.where("doc_id in (2, 3)")).collect()
     assert sorted((r["container"], r["place"]) for r in only_empty) == [(0, 0), (0, 1)]
     with pytest.raises(ValueError):
-        best_fit_runs({11: 1}, 10)
+        best_fit_steps({11: 1}, 10)
