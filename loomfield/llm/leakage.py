@@ -30,6 +30,8 @@ from .wikitext import all_segments
 #: Places left free between segments, so that no passage runs from one into the next.
 GAP = 4
 SHARD_TERMS = 1_000_000
+#: Words of items laid over a shard at once.
+SPAN_CELLS = 2_000_000
 
 _INDEX = "terms array<string>, counts array<int>, deltas binary, docs binary, starts binary, n_places long"
 _INDEX_ARROW = pa.schema([
@@ -138,17 +140,21 @@ def passages(queries: list[Query], rule: Rule, terms: list[str], counts: np.ndar
     """(document, item) pairs found in one shard."""
     ends = np.cumsum(counts)
     code = {t: i for i, t in enumerate(terms)}
-    wanted = sorted({code[w] for q in queries for w in q.words if w in code})
     post: dict[int, np.ndarray] = {}
     forward = np.full(n_places + 1, -1, np.int32)  # the last place stands for all places outside
-    for i in wanted:
-        post[i] = np.cumsum(deltas[ends[i] - counts[i] : ends[i]], dtype=np.int32)
-        forward[post[i]] = i
+
+    def places(i: int) -> np.ndarray:
+        """A term's places; lists are read when first asked for, and then stand in forward too."""
+        if i not in post:
+            post[i] = np.cumsum(deltas[ends[i] - counts[i] : ends[i]], dtype=np.int32)
+            forward[post[i]] = i
+        return post[i]
+
     doc_ends = np.append(starts[1:], n_places)
     out = set()
     for q in queries:
         item = np.array([code.get(w, -2) for w in q.words], np.int32)
-        lists = [post[item[a]] - a for a in q.anchors if item[a] >= 0]
+        lists = [places(item[a]) - a for a in q.anchors if item[a] >= 0]
         if not lists:
             continue
         at = np.sort(np.concatenate(lists))
@@ -156,33 +162,40 @@ def passages(queries: list[Query], rule: Rule, terms: list[str], counts: np.ndar
         if not len(at):
             continue
         at = np.unique(at)
-        span = at[:, None] + np.arange(len(item))
-        span[(span < 0) | (span >= n_places)] = n_places
-        same = forward[span] == item
-        keep = same.sum(1) >= min(q.need, rule.run)
-        at, same = at[keep], same[keep]
-        if not len(at):
-            continue
-        run = np.zeros(len(at), int)
-        chain = np.zeros(len(at), int)
-        before = np.ones(len(at), bool)
-        was = np.zeros(len(at), bool)
-        hits = []  # where passages begin to count; the free places end both kinds, so each document on a diagonal has its own
-        for i in range(len(item)):
-            m = same[:, i]
-            run = np.where(m, run + 1, 0)
-            chain = np.where(m, chain + 1, np.where(before, chain, 0))
-            before = m
-            now = (run >= rule.run) | (chain >= q.need)
-            hits.append(at[now & ~was] + i)
-            was = now
-        p = np.concatenate(hits)
-        d = np.searchsorted(starts, p, side="right") - 1
-        d = np.unique(d[(d >= 0) & (p < doc_ends[d])])
-        out.update((int(x), q.item) for x in docs[d])
+        for i in np.unique(item[item >= 0]):  # only items with a place to look at have their common words read
+            places(i)
+        rows = max(1, SPAN_CELLS // len(item))
+        for k in range(0, len(at), rows):
+            p = _passages_at(at[k : k + rows], item, q.need, rule.run, forward, n_places)
+            d = np.searchsorted(starts, p, side="right") - 1
+            d = np.unique(d[(d >= 0) & (p < doc_ends[d])])
+            out.update((int(x), q.item) for x in docs[d])
     return out
 
 
+def _passages_at(at: np.ndarray, item: np.ndarray, need: int, length: int, forward: np.ndarray, n_places: int) -> np.ndarray:
+    """Places where a passage begins to count, of the item laid at each of the given places."""
+    span = at[:, None] + np.arange(len(item))
+    span[(span < 0) | (span >= n_places)] = n_places
+    same = forward[span] == item
+    keep = same.sum(1) >= min(need, length)
+    at, same = at[keep], same[keep]
+    run = np.zeros(len(at), int)
+    chain = np.zeros(len(at), int)
+    before = np.ones(len(at), bool)
+    was = np.zeros(len(at), bool)
+    hits = []  # the free places end both kinds of passage, so each document on a diagonal has its own
+    for i in range(len(item)):
+        m = same[:, i]
+        run = np.where(m, run + 1, 0)
+        chain = np.where(m, chain + 1, np.where(before, chain, 0))
+        before = m
+        now = (run >= length) | (chain >= need)
+        hits.append(at[now & ~was] + i)
+        was = now
+    return np.concatenate(hits)
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rule: Rule = Rule(), block: int = 5_000) -> DataFrame:
     """Rows (doc_id, item_id), one for each document that holds a passage of an item.
 
@@ -192,9 +205,13 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     words match nothing; equal items are each reported; empty tables give no
     rows. Notes, templates and comments are searched too.
     """
-    index = positional_index(docs, doc_id, text)
+    return items_in_index(positional_index(docs, doc_id, text), items, item_id, item_text, rule, block)
+
+
+def items_in_index(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", rule: Rule = Rule(), block: int = 5_000) -> DataFrame:
+    """As leaked_items, from an index made before; stored as a table, it serves any number of item sets."""
     items = pick(items, item_id, item_text)
-    spark = docs.sparkSession
+    spark = index.sparkSession
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").orderBy("i").toLocalIterator()
     result = None
     done = False

@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 import pytest
-from loomfield.llm.leakage import GAP, Query, Rule, build_shard, choose_anchors, leaked_items, passages
+from loomfield.llm import leakage
+from loomfield.llm.leakage import GAP, Query, Rule, build_shard, choose_anchors, items_in_index, leaked_items, passages, positional_index
 from loomfield.llm.wikitext import all_segments
 
 D, I = "doc_id long, text string", "item_id long, text string"
@@ -114,3 +115,21 @@ def test_neighbours_on_one_diagonal(lengths):
     items = [(1, " ".join(item)), (2, "w0 w1 w2 w3 w4")]
     want = brute(docs, items)
     assert len(want) > 1 and shard_found(docs, items) == want
+
+
+def test_long_items_in_blocks(monkeypatch):
+    """Items laid over a shard a few places at a time give the same pairs."""
+    r = random.Random(8)
+    docs = [(d, " ".join(r.choice(VOCAB[:25]) for _ in range(400))) for d in range(6)]
+    items = [(i, " ".join(r.choice(VOCAB[:25]) for _ in range(150)) + " " + " ".join(docs[i][1].split()[50:70])) for i in range(4)]
+    whole = shard_found(docs, items)
+    monkeypatch.setattr(leakage, "SPAN_CELLS", 400)
+    assert shard_found(docs, items) == whole == brute(docs, items) and len(whole) >= 4
+
+
+def test_an_index_serves_several_sets(spark, tmp_path):
+    text = " ".join(f"v{i}" for i in range(30))
+    positional_index(spark.createDataFrame([(1, text), (2, text + " z")], D), "doc_id", "text").write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for i in (7, 8):
+        assert sorted(map(tuple, items_in_index(index, spark.createDataFrame([(i, text)], I)).collect())) == [(1, i), (2, i)]
