@@ -1,13 +1,16 @@
 """Differences between two copies of a dataset, by hierarchical range checksums.
 
 Every key has a place in the 64-bit space of its hash; a range is a prefix of
-that place, so ranges are even whatever the keys look like. Each side is reduced
-to one checksum per finest range. Checksums are folded upwards sixteen to one.
-From the root, only children of ranges that differ are looked at, down to the
-leaves; fields are compared for the rows of differing leaves only.
-
-A checksum is the count and the exclusive-or of two 64-bit hashes over the
-*distinct* rows of a range, so repeated rows count once and order is no matter.
+that place, so ranges are even whatever the keys look like. Each row is reduced
+to hashes once. Each side's hashes are then reduced to a few thousand ranges,
+which costs a row per range and task to move, however large the copies are.
+Ranges that differ are parted again, by a stage that reads only the hashes in
+them, and so on down to leaves of a few rows. Fields are compared for the rows
+of differing leaves only.
+
+A checksum is the count, an exclusive-or and sums of 64-bit hashes over the rows
+of a range, so order is no matter. Ranges alike as multisets are alike as sets;
+where only repeats differ, the leaf is looked at and found alike.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ from ..functions.text import canonical_decimal, cell
 from ..session import pick, work_table
 
 FAN_BITS = 4
+#: Bits by which a stage parts ranges.
+STAGE_BITS = 12
+_PARTS = ("n", "x", "s0", "s1", "s2")
 
 
 @dataclass(frozen=True)
@@ -35,48 +41,53 @@ class CopySpec:
     max_bits: int = 36
 
 
-def _normal(df: DataFrame, spec: CopySpec, bits: int) -> DataFrame:
-    """Keys _k0.., fields _f0.. and the leaf _leaf; other columns are gone, so no name can clash."""
+def _keyed(df: DataFrame, spec: CopySpec, bits: int) -> DataFrame:
+    """Normal keys _k0.., raw fields _f0.. and the leaf _leaf; other columns are gone, so no name can clash."""
     keys = [cell(df[k].cast("string")).alias(f"_k{i}") for i, k in enumerate(spec.keys)]
-    fields = []
-    for i, f in enumerate(spec.fields):
-        c = cell(df[f].cast("string"))
-        fields.append((canonical_decimal(c) if f in spec.numeric else c).alias(f"_f{i}"))
-    out = df.select(*keys, *fields)
+    out = df.select(*keys, *[df[f].cast("string").alias(f"_f{i}") for i, f in enumerate(spec.fields)])
     place = F.xxhash64(*[out[f"_k{i}"] for i in range(len(spec.keys))])
     leaf = F.lit(0).cast("long") if bits == 0 else F.shiftrightunsigned(place, 64 - bits)
     return out.withColumn("_leaf", leaf)
 
 
-def leaf_digests(rows: DataFrame, side: str) -> DataFrame:
-    """One checksum per finest range of one copy: (_leaf, n_, x_, y_).
+def _normal(keyed: DataFrame, spec: CopySpec) -> DataFrame:
+    """The fields in one writing."""
+    one = lambda i, f: canonical_decimal(cell(F.col(f"_f{i}"))) if f in spec.numeric else cell(F.col(f"_f{i}"))
+    return keyed.withColumns({f"_f{i}": one(i, f) for i, f in enumerate(spec.fields)})
 
-    Rows are reduced to two hashes before anything moves; repeated rows are
-    removed on the map side first, so a hot key moves once per task.
-    """
+
+def _hashes(rows: DataFrame, name: str) -> DataFrame:
+    """(_leaf, _x, _y) of each row, stored: what all checksums are made of."""
     cols = [c for c in rows.columns if c != "_leaf"]
-    slim = rows.select(
-        "_leaf",
-        F.xxhash64(*cols).alias("_x"),
-        F.xxhash64(F.lit("second"), *reversed(cols)).alias("_y"),
-    ).distinct()
-    return slim.groupBy("_leaf").agg(
-        F.count(F.lit(1)).alias(f"n_{side}"),
-        F.bit_xor("_x").alias(f"x_{side}"),
-        F.bit_xor("_y").alias(f"y_{side}"),
-    )
+    return work_table(rows.select("_leaf", F.xxhash64(*cols).alias("_x"), F.xxhash64(F.lit("second"), *reversed(cols)).alias("_y")), name)
+
+
+def range_digests(rows: DataFrame, side: str, shift: int = 0) -> DataFrame:
+    """One checksum per range of one copy: (_leaf, n_, x_, s0_ to s2_); ranges are shift bits coarser than leaves.
+
+    Sums take 21 bits of a hash each, so they hold for 10^12 rows of a range.
+    All is added up on the map side first.
+    """
+    slim = rows.withColumn("_leaf", F.shiftrightunsigned("_leaf", shift))
+    part = lambda i: F.sum(F.shiftrightunsigned("_y", 21 * i).bitwiseAND(F.lit((1 << 21) - 1)))
+    return slim.groupBy("_leaf").agg(F.count(F.lit(1)).alias(f"n_{side}"), F.bit_xor("_x").alias(f"x_{side}"), *[part(i).alias(f"s{i}_{side}") for i in range(3)])
+
+
+def _both(a: DataFrame, b: DataFrame, shift: int, name: str) -> DataFrame:
+    return work_table(range_digests(a, "a", shift).join(range_digests(b, "b", shift), "_leaf", "full_outer").na.fill(0), name)
 
 
 def _fold(level: DataFrame) -> DataFrame:
     """The level above: sixteen ranges become one."""
-    aggs = []
-    for s in ("a", "b"):
-        aggs += [F.sum(f"n_{s}").alias(f"n_{s}"), F.bit_xor(f"x_{s}").alias(f"x_{s}"), F.bit_xor(f"y_{s}").alias(f"y_{s}")]
+    aggs = [(F.bit_xor if p == "x" else F.sum)(f"{p}_{s}").alias(f"{p}_{s}") for s in ("a", "b") for p in _PARTS]
     return level.groupBy(F.shiftrightunsigned("_leaf", FAN_BITS).alias("_leaf")).agg(*aggs)
 
 
 def _differs() -> Column:
-    return (F.col("n_a") != F.col("n_b")) | (F.col("x_a") != F.col("x_b")) | (F.col("y_a") != F.col("y_b"))
+    out = F.lit(False)
+    for p in _PARTS:
+        out = out | (F.col(f"{p}_a") != F.col(f"{p}_b"))
+    return out
 
 
 def depth_bits(rows: int, spec: CopySpec) -> int:
@@ -84,27 +95,34 @@ def depth_bits(rows: int, spec: CopySpec) -> int:
     return min(spec.max_bits, math.ceil(math.log2(max(1, rows / spec.leaf_rows))))
 
 
-def digest_tree(a: DataFrame, b: DataFrame, spec: CopySpec) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Normal rows of both copies, and the levels of the checksum tree, leaves first."""
-    a, b = pick(a, *spec.keys, *spec.fields), pick(b, *spec.keys, *spec.fields)
-    bits = depth_bits(max(a.count(), b.count()), spec)
-    na, nb = _normal(a, spec, bits), _normal(b, spec, bits)
-    both = leaf_digests(na, "a").join(leaf_digests(nb, "b"), "_leaf", "full_outer")
-    leaves = work_table(both.na.fill(0), "digest-leaves")
-    levels = [leaves]
-    for i in range(math.ceil(bits / FAN_BITS)):
-        up = _fold(levels[-1])
-        levels.append(work_table(up, "digest-level") if i == 0 else up)  # all above is a fraction of it
-    return na, nb, levels
+@dataclass(frozen=True)
+class Stage:
+    """Checksums of ranges of some bits, of those ranges only whose coarser range differs in the stage before."""
+
+    bits: int
+    level: DataFrame
+    differing: DataFrame
 
 
-def differing_leaves(levels: list[DataFrame]) -> DataFrame:
-    """Descend from the root; only the children of differing ranges are kept at each level."""
-    frontier = levels[-1].where(_differs()).select("_leaf")
-    for level in reversed(levels[:-1]):
-        child = level.withColumn("_up", F.shiftrightunsigned("_leaf", FAN_BITS))
-        frontier = child.join(frontier.withColumnRenamed("_leaf", "_up"), "_up", "left_semi").where(_differs()).select("_leaf")
-    return frontier
+def digest_stages(a: DataFrame, b: DataFrame, spec: CopySpec) -> tuple[DataFrame, DataFrame, list[Stage]]:
+    """Keyed rows of both copies, and the stages from coarse ranges to leaves; the last stage's differing ranges are the differing leaves.
+
+    Each stage parts a differing range in up to 4,096 and reads only the
+    hashes of rows in differing ranges. Copies alike end after the first.
+    """
+    a, b = pick(a, *spec.keys, *spec.fields), pick(b, *spec.keys, *spec.fields)
+    bits = depth_bits(max(a.count(), b.count()), spec)
+    na, nb = _keyed(a, spec, bits), _keyed(b, spec, bits)
+    ha, hb = _hashes(_normal(na, spec), "row-hashes"), _hashes(_normal(nb, spec), "row-hashes")
+    out: list[Stage] = []
+    for at in [*range(STAGE_BITS, bits, STAGE_BITS), bits]:
+        inside = lambda h: h
+        if out:
+            known, shift = out[-1].differing.withColumnRenamed("_leaf", "_top"), bits - out[-1].bits
+            inside = lambda h: h.withColumn("_top", F.shiftrightunsigned("_leaf", shift)).join(known, "_top", "left_semi").drop("_top")  # noqa: B023, E731
+        level = _both(inside(ha), inside(hb), bits - at, "digests")
+        out.append(Stage(at, level, work_table(level.where(_differs()).select("_leaf"), "differing")))
+    return na, nb, out
 
 
 def diff_copies(a: DataFrame, b: DataFrame, spec: CopySpec, names: tuple[str, str] = ("a", "b")) -> DataFrame:
@@ -116,10 +134,11 @@ def diff_copies(a: DataFrame, b: DataFrame, spec: CopySpec, names: tuple[str, st
     Empty copies give only_ rows for all of the other; columns beyond the
     spec are not looked at. Output keys are trimmed strings.
     """
-    na, nb, levels = digest_tree(a, b, spec)
-    leaves = work_table(differing_leaves(levels), "digest-frontier")
+    na, nb, stages = digest_stages(a, b, spec)
+    leaves = stages[-1].differing
     keys = [f"_k{i}" for i in range(len(spec.keys))]
     rows = na.withColumn("_s", F.lit(1)).unionByName(nb.withColumn("_s", F.lit(2))).join(leaves, "_leaf", "left_semi")
+    rows = _normal(rows, spec)  # of the differing leaves only
     cells = [F.struct(F.lit(-1).alias("f"), F.lit("").alias("v"))]
     cells += [F.struct(F.lit(i).alias("f"), F.col(f"_f{i}").alias("v")) for i in range(len(spec.fields))]
     values = rows.select(*keys, "_s", F.inline(F.array(*cells))).groupBy(*keys, "f", "v").agg(F.bit_or("_s").alias("_s"))
@@ -134,10 +153,18 @@ def diff_copies(a: DataFrame, b: DataFrame, spec: CopySpec, names: tuple[str, st
 
 
 def range_report(a: DataFrame, b: DataFrame, spec: CopySpec) -> DataFrame:
-    """Per level of the tree: ranges, and ranges that differ (level 0 is the root)."""
-    _, _, levels = digest_tree(a, b, spec)
+    """Per level of the tree, sixteen ranges to one above: ranges looked at, and ranges that differ (level 0 is the root)."""
+    _, _, stages = digest_stages(a, b, spec)
+    levels: list[DataFrame] = []
+    above = 0
+    for s in stages:
+        own = [s.level]
+        for _ in range(math.ceil((s.bits - above) / FAN_BITS) - (1 if above else 0)):
+            own.append(_fold(own[-1]))
+        levels += reversed(own)
+        above = s.bits
     out = None
-    for depth, level in enumerate(reversed(levels)):
+    for depth, level in enumerate(levels):
         one = level.select(F.lit(depth).cast("long").alias("level"), F.when(_differs(), 1).otherwise(0).alias("d"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("level").agg(F.count(F.lit(1)).alias("ranges"), F.sum("d").alias("differing"))

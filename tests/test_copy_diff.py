@@ -2,7 +2,7 @@ import random
 
 import pytest
 from loomfield.functions.text import canonical_decimal
-from loomfield.operators.copy_diff import CopySpec, depth_bits, diff_copies, digest_tree, differing_leaves, range_report
+from loomfield.operators.copy_diff import CopySpec, depth_bits, diff_copies, digest_stages, range_report
 from pyspark.sql import functions as F
 
 SCHEMA = "k string, q string, x string, y string"
@@ -56,13 +56,26 @@ def test_random_against_brute_force(spark, seed):
     assert rows(diff_copies(frame(a), frame(b), SPEC)) == sorted(want)
 
 
+def test_repeats_that_differ_are_no_difference(spark):
+    """Rows repeated twice on one side: their exclusive-or vanishes, their sums do not; repeats alone are no difference."""
+    one, two = ("a", "1", "1", "u"), ("b", "1", "1", "u")
+    frame = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    assert rows(diff_copies(frame(one, one), frame(two, two), SPEC)) == [("a", "1", "only_a", ""), ("b", "1", "only_b", "")]
+    assert rows(diff_copies(frame(one, one, two), frame(one, two, two, two), SPEC)) == []
+
+
 def test_only_differing_leaves_are_compared(spark):
     a = spark.range(4000).select(F.col("id").cast("string").alias("k"), F.lit("1").alias("q"), F.lit("1").alias("x"), F.lit("y").alias("y"))
     b = a.withColumn("y", F.when(F.col("k") == "77", "other").otherwise(F.col("y")))
-    _, _, levels = digest_tree(a, b, SPEC)
-    assert differing_leaves(levels).count() == 1
+    _, _, stages = digest_stages(a, b, SPEC)
+    assert stages[-1].differing.count() == 1
     report = {r["level"]: (r["ranges"], r["differing"]) for r in range_report(a, b, SPEC).collect()}
     assert report[0] == (1, 1) and all(d == 1 for _, d in report.values())
+    big = CopySpec(SPEC.keys, SPEC.fields, SPEC.numeric, leaf_rows=1, max_bits=20)
+    _, _, stages = digest_stages(a.unionByName(a.withColumn("k", F.concat("k", F.lit("b")))), b.unionByName(a.withColumn("k", F.concat("k", F.lit("b")))), big)
+    assert [s.bits for s in stages] == [12, 13] and [s.differing.count() for s in stages] == [1, 1] and stages[1].level.count() <= 2
+    assert {r["level"]: r["differing"] for r in range_report(a, b, big).collect()} == dict.fromkeys(range(4), 1)
+    assert rows(diff_copies(a, b, big)) == [("77", "1", "value", "y")]
     assert depth_bits(0, SPEC) == 0 and depth_bits(8, SPEC) == 0 and depth_bits(9, SPEC) == 1
 
 
