@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -41,22 +42,25 @@ def quoted(c: Column, sep: str, alone: bool = False) -> Column:
 
 
 def double_text(c: Column, dcml: int = 6) -> Column:
-    """A double as text: whole numbers exactly, others with at most dcml (six or more) decimals less trailing zeros.
+    """A double as text: whole numbers exactly, others with at most dcml (six to nine) decimals less trailing zeros.
 
-    '' for null, NaN and what counts as missing. All in the JVM. The fraction
-    is split off first, which is exact, since formatting a large number with a
-    fraction would show its shortest digits and not its value. Sizes of 1e38
-    and more give null, for them sources.container.double_text is exact.
+    '' for null, NaN and what counts as missing. All in the JVM. Its formatting
+    rounds right while neighbouring doubles lie closer than the last decimal;
+    beyond, it would show a number's shortest digits and not its value, but there
+    a fraction has so few bits that it can be scaled without loss. Sizes of 1e38 and more give null, for them
+    sources.container.double_text is exact.
     """
+    n = max(dcml, 6)
+    if n > 9:
+        raise ValueError("at most nine decimals")
     missing = c.isNull() | F.isnan(c) | (c >= F.lit(1.7976931348623157e308) * 0.99)
+    strip = lambda t: F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))
+    small = strip(F.replace(F.format_number(c, n), F.lit(","), F.lit("")))
     size, step = F.abs(c), F.lit(float(1 << 60))
-    part = size % F.lit(1.0)
-    fixed = F.format_number(part, max(dcml, 6))  # 1.000000 where the fraction is rounded up
-    whole = (size - part).try_cast("bigint") + F.when(F.left(fixed, F.lit(1)) == "1", 1).otherwise(0)
-    digits = F.rtrim(F.substring(fixed, 3, max(dcml, 6)), F.lit("0"))
-    text = F.concat(whole.cast("string"), F.when(digits == "", "").otherwise(F.concat(F.lit("."), digits)))
-    high = F.when(size < 1e38, F.floor(size / step)).cast("bigint")
-    low = (size - high.cast("double") * step).try_cast("bigint")
-    big = (high.cast("decimal(19,0)") * F.lit(str(1 << 60)).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("string")
-    sign = F.when((c < 0), "-").otherwise("")
-    return F.when(missing, "").otherwise(F.concat(sign, F.when(size < float(1 << 62), text).otherwise(big)))
+    scaled = F.rint((size % F.lit(1.0)) * F.lit(float(10**n))).cast("bigint")
+    whole = F.floor(size) + F.when(scaled == 10**n, 1).otherwise(0)
+    large = strip(F.concat(whole.cast("string"), F.lit("."), F.lpad((scaled % F.lit(10**n)).cast("string"), n, "0")))
+    high = F.floor(size / step)
+    huge = (high.cast("decimal(19,0)") * F.lit(str(1 << 60)).cast("decimal(19,0)") + (size - high.cast("double") * step).try_cast("bigint").cast("decimal(19,0)")).cast("string")
+    beyond = F.when(size >= 1e38, F.lit(None)).otherwise(F.concat(F.when(c < 0, "-").otherwise(""), F.when(size < float(1 << 62), large).otherwise(huge)))
+    return F.when(missing, "").when(c == F.rint(c), F.when(size < float(1 << 62), c.try_cast("bigint").cast("string")).otherwise(beyond)).when(size < float(1 << int(math.log2(2**53 / 10**n))), small).otherwise(beyond)

@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -98,26 +99,46 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     The plan behind it is cut, and the rows survive the loss of any executor.
+    The table is deleted when the application ends, or before by
+    work_tables_released.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/work/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     _WORK.setdefault(spark.sparkContext.applicationId, []).append(path)
+    where, fs = _file_system(spark, path)
+    fs.deleteOnExit(where)
     return spark.read.schema(schema).parquet(path)
 
 
-def release_work_tables(spark: SparkSession) -> int:
-    """Delete the work tables of this application; frames that read them end with it."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = _WORK.pop(spark.sparkContext.applicationId, [])
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release_work_tables(spark: SparkSession, keep: int = 0) -> int:
+    """Delete this application's work tables but for the first keep; frames that read them end with it."""
+    made = _WORK.get(spark.sparkContext.applicationId, [])
+    paths = made[keep:]
+    del made[keep:]
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+        where, fs = _file_system(spark, p)
+        fs.delete(where, True)
+        fs.cancelDeleteOnExit(where)
     return len(paths)
 
 
+@contextmanager
+def work_tables_released(spark: SparkSession) -> Iterator[None]:
+    """Work tables made inside are deleted at its end; what is made of them must be written or collected by then."""
+    before = len(_WORK.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release_work_tables(spark, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

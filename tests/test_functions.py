@@ -1,9 +1,10 @@
+import os
 import random
 
 import pytest
 from loomfield.functions import names
 from loomfield.functions.text import micros, trimmed, words_of
-from loomfield.session import local_path, pick, release_work_tables, shared_dir, work_table
+from loomfield.session import local_path, pick, release_work_tables, shared_dir, work_table, work_tables_released
 from loomfield.sources.container import double_text
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ def test_texts_of_doubles_agree_with_the_decoder(spark):
     xs = [0.0, -0.0, 1.0, -1e-9, 0.1 + 0.2, 2.0**60, 1.0000015, 1 / 3, -2.5] + [r.uniform(-1e9, 1e9) for _ in range(500)] + [r.randrange(10**6) / 128 for _ in range(500)] + [r.uniform(-1, 1) * 10.0 ** r.randrange(8, 38) for _ in range(2000)] + [2.0**53 - 0.5, 9e9 + 1 / 3, 2.0**62, 2.0**63, -(2.0**64) - 2.0**13, 123456789012.9999999] + [round(r.uniform(0, 1e5), 2) for _ in range(500)]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     assert [(r["x"], r["t"]) for r in df.select("x", names.double_text(F.col("x")).alias("t")).collect()] == [(x, double_text(x, 0)) for x in xs]
+    assert [(r["x"], r["t"]) for r in df.select("x", names.double_text(F.col("x"), 9).alias("t")).collect()] == [(x, double_text(x, 9)) for x in xs]
     odd = spark.createDataFrame([(None,), (float("nan"),), (1.7976931348623157e308,), (float("inf"),), (1e300,), (1e10 + 0.5,), (float("-inf"),)], "x double")
     assert [r[0] for r in odd.select(names.double_text(F.col("x"))).collect()] == ["", "", "", "", None, "10000000000.5", None]
 
@@ -39,6 +41,10 @@ def test_work_tables_and_picking(spark):
     assert shared_dir(spark).startswith("file:///")
     t = work_table(spark.range(5), "t")
     assert t.count() == 5 and "Range" not in t._jdf.queryExecution().optimizedPlan().toString()
+    with work_tables_released(spark):
+        inner = work_table(spark.range(3), "inner")
+        assert inner.count() == 3
+    assert t.count() == 5 and not os.path.exists(local_path(os.path.dirname(inner.inputFiles()[0])))
     assert release_work_tables(spark) >= 1
 
 
