@@ -9,6 +9,7 @@ import os
 import re
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
@@ -27,6 +28,7 @@ from ..sources.codebook import Block, Variable, codebook_frames, read_codebook
 from ..sources.container import block_layout, container_plan, open_checked, read_block
 from ..sources.encode import Spec, Table, codebook_xml, write_blocks, write_container
 from ..sources.layout import LayoutError, read_slots, single_owners
+from . import survey
 from .general import EXPORT, HOUSEHOLDS, LOAN_FIELDS, PERSONS, RECORDS, _cell
 
 TABLES = {"F1": HOUSEHOLDS, "F2": RECORDS, "F3": PERSONS}
@@ -381,6 +383,15 @@ def slot_matching(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def twin_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Two blocks of the same variables: each name stands in both, and a place that one block has taken is not the other's."""
+    df = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    specs = (Spec(Variable("s_suppkey", ddi_width=9), "offset", 0, 1), Spec(Variable("s_name", "", "character", 25), "char", 25, 2), Spec(Variable("s_nationkey", "", "numeric", 2, 0, 0.0, 24.0), "offset", 0, 3))
+    half = lambda odd: df.where(F.col("s_suppkey") % 2 == odd)
+    path, book, blocks = write_blocks([Table(half(1), ("s_suppkey",), "F1", "odd", specs), Table(half(0), ("s_suppkey",), "F2", "even", specs)])
+    return reduce(DataFrame.unionByName, [read_block(spark, path, b.fid, book).select(F.lit(b.name).alias("block_name"), "*") for b in blocks])
+
+
 def width_repair(spark: SparkSession, d: str) -> DataFrame:
     """Numbers stored in fewer bytes than their codebook widths say, since the record would not fit the file otherwise; the widest loses a byte, the other none."""
     df = table(spark, d, "customer").select("c_custkey", "c_nationkey")
@@ -437,12 +448,15 @@ def container_errors(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").count()
     v = [Variable("n_nationkey", "", "numeric", 2, 0, 0.0, 24.0), Variable("n_name", "", "character", 25), Variable("n_regionkey", "", "numeric", 1, 0, 0.0, 4.0)]
     (folder / "long.xml").write_text(codebook_xml([Block("F1", "nation", n + 1, v)]))
+    lines = survey._written(spark, d, "lineitem")
+    few = read_codebook(lines[1])[0]
+    (folder / "few.xml").write_text(codebook_xml([Block(few.fid, few.name, few.nrecs, few.variables[:5])]))
     (folder / "absent.xml").write_text(codebook_xml([Block("F1", "nation", n, [Variable("absent")])]))
     out = str(folder / "out")
     cases = {
         "mark": lambda: read_block(spark, str(folder / "mark.bin"), "F1", book), "empty": lambda: read_block(spark, str(folder / "empty.bin"), "F1", book),
         "unknown_block": lambda: read_block(spark, path, "F77", book), "block_not_located": lambda: read_block(spark, path, "F8", book), "no_record_room": lambda: read_block(spark, nation, "F1", str(folder / "long.xml")),
-        "nothing_located": lambda: convert_container(nation, str(folder / "absent.xml"), out, verbose=False, spark=spark), "format": lambda: convert_container(nation, book, out, ["doc"], verbose=False, spark=spark),
+        "too_many_slots": lambda: read_block(spark, lines[0], few.fid, str(folder / "few.xml")), "nothing_located": lambda: convert_container(nation, str(folder / "absent.xml"), out, verbose=False, spark=spark), "format": lambda: convert_container(nation, book, out, ["doc"], verbose=False, spark=spark),
         "remote": lambda: read_block(spark, "s3a://bucket/x.bin", "F1", book), "no_codebook": lambda: read_block(spark, str(folder / "empty.bin"), "F1"),
     }
     rows = []
@@ -511,7 +525,7 @@ QUERIES = {
     for f in (
         codebook_blocks, codebook_variables, slots_scan, blocks_layout, owned_names, *[_block_query(f) for f in TABLES], _block_query("F2", True), convert_report, convert_errors, convert_console,
         convert_checks, failing_checks, converted_parquet, _separated("csv", ","), _separated("tsv", "\t"), converted_jsonl, converted_json, converted_fwf, converted_stata, stata_labels, converted_excel,
-        excel_heads, excel_variables, file_sizes, format_registry, validate_differing, slot_matching, width_repair, wide_offsets, odd_doubles, raw_texts, container_errors, batch_folder, info_blocks,
+        excel_heads, excel_variables, file_sizes, format_registry, validate_differing, slot_matching, twin_blocks, width_repair, wide_offsets, odd_doubles, raw_texts, container_errors, batch_folder, info_blocks,
         info_variables, command_status,
     )
 }
@@ -619,7 +633,7 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
 
 
-_ERRORS = [("mark", "LayoutError"), ("empty", "LayoutError"), ("unknown_block", "LayoutError"), ("block_not_located", "LayoutError"), ("no_record_room", "LayoutError"), ("nothing_located", "RuntimeError"), ("format", "ValueError"), ("remote", "ValueError"), ("no_codebook", "FileNotFoundError")]
+_ERRORS = [("mark", "LayoutError"), ("empty", "LayoutError"), ("unknown_block", "LayoutError"), ("block_not_located", "LayoutError"), ("no_record_room", "LayoutError"), ("too_many_slots", "LayoutError"), ("nothing_located", "RuntimeError"), ("format", "ValueError"), ("remote", "ValueError"), ("no_codebook", "FileNotFoundError")]
 _EXCEL_NUMBER = "CASE WHEN {0} IS NULL THEN '' ELSE CAST(CAST({0} AS BIGINT) AS VARCHAR) || '.0' END"
 
 ORACLE = {
@@ -655,6 +669,7 @@ ORACLE = {
     "slot_matching": " UNION ALL ".join(f"SELECT '{c}' AS case_name, {_NATION}" for c in ("fits", "other_names", "one_more", "one_more_akin"))
     + """ UNION ALL SELECT 'one_fewer', NULL, NULL, NULL, 'slots without variable: n_name' UNION ALL SELECT 'slot_behind', NULL, NULL, NULL, 'slots without variable: n_regionkey'
       UNION ALL SELECT 'six_more', NULL, NULL, NULL, 'block Fn was not found in the container'""",
+    "twin_blocks": "SELECT CASE s_suppkey % 2 WHEN 1 THEN 'odd' ELSE 'even' END AS block_name, CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier",
     "width_repair": "WITH m AS (SELECT greatest(2, CAST(ceil(length(bin(max(c_custkey))) / 8.0) AS INTEGER)) AS w FROM customer) SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey, m.w AS width, 2 AS other_width FROM customer, m",
     "wide_offsets": "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_orderkey::HUGEINT * 10000000000000000000::HUGEINT AS VARCHAR) AS big, CAST(-1000000000000000 + o_custkey AS VARCHAR) AS low FROM orders",
     "odd_doubles": f"""WITH x AS (SELECT l_orderkey, l_linenumber, CASE l_orderkey % 8 WHEN 3 THEN l_extendedprice * 1e9 WHEN 4 THEN round_even(l_extendedprice, 0) * 1e15 WHEN 5 THEN -l_extendedprice / 7e9 WHEN 6 THEN -l_extendedprice / 3 WHEN 7 THEN round_even(l_extendedprice, 0) END AS v,
