@@ -678,7 +678,8 @@ ORACLE = {
     "raw_texts": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, ltrim({_PLAIN.format(chr(39) + chr(39) + ' || coalesce(page_title, ' + chr(39) * 2 + ')')} || ' .') AS title FROM documents",
     "container_errors": _values(_ERRORS, "case_name, error"),
     "batch_folder": "SELECT year, container, (SELECT count(*) FROM nation) AS n_rows, target FROM (VALUES "
-    + "('2001', 'hces/2001/a/one.Nesstar', 'parquet/hces/2001/one/nation.parquet'), ('2001', 'hces/2001/b/two.Nesstar', 'parquet/hces/2001/two/nation.parquet'), ('2002', 'hces/2002/three.Nesstar', 'parquet/hces/2002/nation.parquet')) t(year, container, target)",
+    + f"('2001', 'hces/2001/a/one{CONTAINER_SUFFIX}', 'parquet/hces/2001/one/nation.parquet'), ('2001', 'hces/2001/b/two{CONTAINER_SUFFIX}', 'parquet/hces/2001/two/nation.parquet'), "
+    + f"('2002', 'hces/2002/three{CONTAINER_SUFFIX}', 'parquet/hces/2002/nation.parquet')) t(year, container, target)",
     "info_blocks": f"""SELECT b.fid, b.block_name AS name, b.n AS records, (SELECT count(*) FROM codebook_vars v WHERE v.fid = b.fid) AS variables,
       (SELECT string_agg(type || ': ' || n, '; ' ORDER BY type) FROM (SELECT type, count(*) AS n FROM codebook_vars v WHERE v.fid = b.fid GROUP BY type)) AS kinds FROM {_BLOCKS} b UNION ALL SELECT 'F8', 'Gone', 3, 1, 'character: 1' UNION ALL SELECT 'F9', 'F9', 0, 0, ''""",
     "info_variables": "SELECT fid, ddi_pos, name, type, label FROM codebook_vars WHERE fid = 'F1' ORDER BY ddi_pos LIMIT 10",
