@@ -34,7 +34,8 @@ def canonical_decimal(c: Column) -> Column:
     whole = F.when(whole == "", F.lit("0")).otherwise(whole)
     text = F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
     minus = (F.regexp_extract(c, m, 1) == "-") & (text != "0")
-    return F.when(number, F.when(minus, F.concat(F.lit("-"), text)).otherwise(text)).otherwise(c)
+    plain = c.rlike("^(0|-?[1-9][0-9]*)?$")  # what most cells are needs one look
+    return F.when(plain, c).when(number, F.when(minus, F.concat(F.lit("-"), text)).otherwise(text)).otherwise(c)
 
 
 def words_of(c: Column) -> Column:
