@@ -54,17 +54,20 @@ def classified(df: DataFrame, spec: ProfileSpec) -> DataFrame:
     """Per row and column the cell's class (blank, pattern, range, valid) and its number."""
     df = pick(df, spec.load, spec.owner, spec.seq, spec.rec, *spec.columns)
     out = df.select(F.col(spec.load).cast("string").alias("load"), F.col(spec.owner).cast("string").alias("owner"), F.col(spec.seq).cast("long").alias("seq"), F.col(spec.rec).cast("long").alias("rec"), *[cell(F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(spec.columns)])
+    # in steps, so that each pattern is tried once a cell
+    whole = {f"n{i}": F.when(F.col(f"c{i}").rlike("^-?[0-9]+$"), F.col(f"c{i}").try_cast("double")) for i in range(len(spec.columns))}
+    out = out.withColumns(whole)
+    kinds, values = {}, {}
     for i, (lo, hi) in enumerate(spec.bounds.values()):
-        c = F.col(f"c{i}")
-        num = F.when(c.rlike(r"^-?[0-9]+$"), c.try_cast("double"))
-        outside = F.lit(False)
+        num, outside = F.col(f"n{i}"), F.lit(False)
         if lo is not None:
             outside = outside | (num < lo)
         if hi is not None:
             outside = outside | (num > hi)
-        kind = F.when(c == "", "blank").when(num.isNull(), "pattern").when(outside, "range").otherwise("valid")
-        out = out.withColumn(f"k{i}", kind).withColumn(f"v{i}", F.when(kind == "valid", num))
-    return out
+        kinds[f"k{i}"] = F.when(F.col(f"c{i}") == "", "blank").when(num.isNull(), "pattern").when(outside, "range").otherwise("valid")
+        values[f"v{i}"] = F.when(F.col(f"k{i}") == "valid", num)
+    keep = [f"{x}{i}" for i in range(len(spec.columns)) for x in "kv"]
+    return out.withColumns(kinds).withColumns(values).select("load", "owner", "seq", "rec", *keep)
 
 
 def _long(rows: DataFrame, spec: ProfileSpec, *keep: str) -> DataFrame:
