@@ -5,9 +5,7 @@ from __future__ import annotations
 import contextlib
 import io
 import json
-import os
 import re
-import uuid
 import zipfile
 from functools import reduce
 from pathlib import Path
@@ -22,7 +20,7 @@ from .. import cli
 from ..convert import CONTAINER_SUFFIX, block_facts, compare_with_exports, convert_container, convert_folder, first_variables
 from ..functions.text import cell
 from ..operators.table_checks import check_block
-from ..session import file_url, local_path, once, shared_dir, table
+from ..session import file_url, local_path, once, scratch, table
 from ..sources import sinks
 from ..sources.codebook import Block, Variable, codebook_frames, read_codebook
 from ..sources.container import block_layout, container_plan, open_checked, read_block
@@ -37,9 +35,7 @@ DOUBLES = {("F1", "Wgt1_strm")}
 
 
 def _folder(spark: SparkSession, what: str) -> Path:
-    p = Path(local_path(shared_dir(spark)), what, uuid.uuid4().hex)
-    p.mkdir(parents=True)
-    return p
+    return Path(local_path(scratch(spark, what)))
 
 
 def _variables(spark: SparkSession, d: str) -> dict[str, list[Variable]]:

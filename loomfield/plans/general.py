@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cell
 from ..operators import codebook_tables, copy_diff, nested_records, orphan_refs, quality_profile, schema_drift
-from ..session import once, shared_dir, table, work_table
+from ..session import once, scratch, table, work_table
 
 RECORDS = "block_10_household_loan_records"
 EXPORT = "block_10_household_loan_export"
@@ -153,7 +151,7 @@ def _drifting_files(spark: SparkSession, d: str) -> list[str]:
         second = [c("rec_no"), said(c("Hhold_key"), "household", "household KEY"), said(amount, "amount", "amount, outstanding"), c("sub_round"), c("load_seq").cast("bigint").alias("load_seq"), c("loaded_at")]
         third = [c("rec_no"), F.struct(said(c("Hhold_key"), "household", "Household key"), c("sub_round")).alias("who"), F.struct(said(amount, "amount", "Amount outstanding"), c("B10_q5").alias("months")).alias("loan"), c("load_seq").cast("bigint").alias("load_seq")]
         fourth = [c("rec_no"), F.struct(said(c("Hhold_key"), "household", "Household key"), c("sub_round")).alias("asked"), F.struct(said(amount, "amount", "Amount outstanding"), c("B10_q5").alias("months")).alias("loan"), c("load_seq").cast("bigint").alias("load_seq"), c("office")]
-        base, out = f"{shared_dir(spark)}/drifting/{uuid.uuid4().hex}", []
+        base, out = scratch(spark, "drifting"), []
         for i, cols in enumerate((first, second, third, fourth)):
             out.append(f"{base}/{i}.parquet")
             part(i).select(*cols).write.parquet(out[-1])

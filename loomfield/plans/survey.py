@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.text import cell
 from ..operators import bag_compare, pairing, table_checks
-from ..session import file_url, local_path, once, shared_dir, table
+from ..session import file_url, local_path, once, scratch, table
 from ..sources import sinks
 from ..sources.codebook import Variable, codebook_frames, read_codebook
 from ..sources.container import block_layout, read_block
@@ -167,7 +165,7 @@ def pair_exports(spark: SparkSession, d: str) -> DataFrame:
 
 def fwf_file(spark: SparkSession, d: str) -> DataFrame:
     """The fixed-width sink as a file, read back as lines with the header first."""
-    folder = f"{local_path(shared_dir(spark))}/fwf/{uuid.uuid4().hex}"
+    folder = local_path(scratch(spark, "fwf"))
     df = table(spark, d, "supplier").select("s_suppkey", "s_name")
     got = sinks.write_table(df, folder, "supplier", ["fwf"], [(Variable("s_suppkey", ddi_width=6), "offset"), (Variable("s_name", ddi_width=25), "char")], single=True)
     return spark.read.text(file_url(got["fwf"]["path"]))

@@ -117,6 +117,15 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{what}/{uuid.uuid4().hex}"
+    where, fs = _file_system(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def release_work_tables(spark: SparkSession, keep: int = 0) -> int:
     """Delete this application's work tables but for the first keep; frames that read them end with it."""
     made = _WORK.get(spark.sparkContext.applicationId, [])

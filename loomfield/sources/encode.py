@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import local_path, shared_dir
+from ..session import local_path, scratch
 from .codebook import Block, Variable
 from .layout import CHAR_FLAG, CHAR_FLAG_AT, CHAR_WIDTH_AT, DOUBLE_FLAG, DOUBLE_FLAG_AT, MARK, NAME_AT, NAME_BYTES, SLOT_BYTES, binary_width
 
@@ -187,7 +187,7 @@ def write_blocks(tables: list[Table], folder: str | None = None) -> tuple[str, s
     The folder must be a file system that all executors see.
     """
     spark = tables[0].df.sparkSession
-    folder = Path(local_path(folder or f"{shared_dir(spark)}/containers/{uuid.uuid4().hex}"))
+    folder = Path(local_path(folder or scratch(spark, "containers")))
     folder.mkdir(parents=True, exist_ok=True)
     path, blocks = folder / "data.bin", []
     with open(path, "wb") as out:
