@@ -24,7 +24,7 @@ from ..session import file_url, local_path, once, scratch, table
 from ..sources import sinks
 from ..sources.codebook import Block, Variable, codebook_frames, read_codebook
 from ..sources.container import block_layout, container_plan, open_checked, read_block
-from ..sources.encode import Spec, Table, codebook_xml, write_blocks, write_container
+from ..sources.encode import Spec, Table, codebook_xml, write_blocks
 from ..sources.layout import LayoutError, read_slots, single_owners
 from . import survey
 from .general import EXPORT, HOUSEHOLDS, LOAN_FIELDS, PERSONS, RECORDS, _cell
