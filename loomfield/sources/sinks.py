@@ -3,24 +3,34 @@
 Text formats are built as whole lines inside the JVM and written in parallel;
 in a folder each part bears the header. On request the parts are strung
 together in order as one file, by copying streams. Workbooks and Stata files
-are always single.
+are always single; tasks write a Stata file's rows as pieces, and the driver
+holds none of them.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import shutil
+import struct
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import accumulate
 from pathlib import Path
 from xml.sax.saxutils import escape
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import padded, quoted, stata_name
-from ..session import file_url, local_path
+from ..session import file_url, local_path, ship_package
 from .codebook import Variable
 
 # Names of the formats and suffixes of their files.
@@ -31,8 +41,8 @@ _ABOUT = {
 }
 FORMATS = {name: (suffix, _ABOUT[name]) for name, suffix in SUFFIXES.items()}
 SHEET_ROWS = 1_048_576
-#: Rows from which a format that must be made on the driver is refused.
-DRIVER_ROWS = 5_000_000
+#: The most rows and the longest text of fixed room that Stata's format takes; longer texts stand in its part for strLs.
+STATA_ROWS, STATA_TEXT = 2**31 - 1, 2045
 FWF_DEFAULT = 12
 LABEL_CHARS = 80
 
@@ -119,7 +129,27 @@ def _write_parquet(df: DataFrame, target: str, single: bool) -> None:
         shutil.rmtree(tmp, ignore_errors=True)
 
 
-# --- formats made on the driver ---------------------------------------------------------------------
+# --- workbooks and Stata files -------------------------------------------------------------------------
+
+
+@contextmanager
+def _held(df: DataFrame) -> Iterator[DataFrame]:
+    """df with rows that keep their partitions from one pass to the next: stored, if it isn't yet."""
+    if df.storageLevel.useDisk or df.storageLevel.useMemory:
+        yield df
+        return
+    df = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def _starts(df: DataFrame, most: list[Column]) -> tuple[dict[int, int], int, list]:
+    """(partition -> number of its first row from 0, rows, highest of each of most); one row per partition is collected."""
+    rows = sorted(map(tuple, df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)), *most).collect()), key=lambda r: r[0])
+    ends = list(accumulate((r[1] for r in rows), initial=0))
+    return {r[0]: a for r, a in zip(rows, ends)}, ends[-1], [max((r[i] for r in rows if r[i] is not None), default=None) for i in range(2, len(most) + 2)]
 
 
 def _sheet_ref(i: int) -> str:
@@ -173,16 +203,105 @@ def write_excel(df: DataFrame, target: str, variables: list[tuple[Variable, str]
         z.writestr("xl/worksheets/sheet2.xml", _SHEET + "".join(_sheet_row(r, row) for r, row in enumerate(rows, 1)) + "</sheetData></worksheet>")
 
 
+def stata_frame(names: list[str], widths: list[int], labels: dict[str, str]) -> bytes:
+    """A Stata file of one row whose texts have these widths: all that surrounds the rows of a larger one."""
+    out = io.BytesIO()
+    pd.DataFrame([["x" * min(w, STATA_TEXT + 1) for w in widths]], columns=names).to_stata(out, write_index=False, variable_labels=labels, version=117, byteorder="<")
+    return out.getvalue()
+
+
+def stata_rows(batch: pa.RecordBatch, widths: list[int], first: int, longs) -> bytes:
+    """Rows as Stata stores them, numbered from first; longer texts go to longs, and the row says which is its."""
+    n, cells = batch.num_rows, []
+    for i, w in enumerate(widths):
+        text = batch.column(i).cast(pa.string())
+        if w > STATA_TEXT:
+            cell = np.zeros((n, 2), "<u4")
+            for r, v in enumerate(text.to_pylist()):
+                if v:
+                    raw = v.encode("latin-1") + b"\0"
+                    cell[r] = i + 1, first + r + 1
+                    longs.write(b"GSO" + struct.pack("<IIBI", i + 1, first + r + 1, 130, len(raw)) + raw)
+            cells.append(cell.view(np.uint8))
+        elif pc.all(pc.string_is_ascii(text)).as_py():
+            wide = pc.ascii_rpad(text, w, padding="\0")
+            cells.append(np.frombuffer(wide.buffers()[2], np.uint8, n * w, wide.offset * w).reshape(n, w))
+        else:
+            cells.append(np.array([v.encode("latin-1") for v in text.to_pylist()], f"S{w}").view(np.uint8).reshape(n, w))
+    return np.hstack(cells).tobytes()
+
+
 def write_stata(df: DataFrame, target: str, variables: dict[str, Variable]) -> None:
-    """All columns as text, names and labels cut to what the format takes; names that collide when cut are an error."""
+    """All columns as text, names and labels cut to what the format takes; names that collide when cut are an error.
+
+    Tasks write the rows of their partitions as pieces, which are strung together.
+    """
     names = [stata_name(c) for c in df.columns]
     if len(set(names)) < len(names):
         raise ValueError("column names collide when cut to 32 characters")
-    if (n := df.count()) > DRIVER_ROWS:
-        raise ValueError(f"{n} rows are too many for a format made on the driver")
     labels = {stata_name(c): variables[c].label[:LABEL_CHARS] for c in df.columns if c in variables and variables[c].label}
-    cells = [F.when(_c(c) == "nan", "").otherwise(_c(c)).alias(s) for c, s in zip(df.columns, names)]
-    df.select(*cells).toPandas().to_stata(target, write_index=False, variable_labels=labels, version=117)
+    tmp = Path(f"{target}.{uuid.uuid4().hex}.parts")
+    ship_package(df.sparkSession)
+    with _held(df) as held:
+        texts = held.select(*[F.when(_c(c) == "nan", "").otherwise(_c(c)).alias(s) for c, s in zip(df.columns, names)])
+        starts, n, longest = _starts(texts, [F.max(F.char_length(s)) for s in names])
+        if n > STATA_ROWS:
+            raise ValueError(f"{n} rows are more than the format's {STATA_ROWS}")
+        widths = [max(1, w or 0) for w in longest]
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, at = TaskContext.get().partitionId(), 0
+            piece = f"{tmp}/{uuid.uuid4().hex}"
+            with open(f"{piece}.rows", "wb") as rows, open(f"{piece}.longs", "wb") as longs:
+                for b in batches:
+                    if b.num_rows:
+                        rows.write(stata_rows(b, widths, starts[part] + at, longs))
+                        at += b.num_rows
+            for kind in ("rows", "longs"):
+                os.replace(f"{piece}.{kind}", f"{tmp}/{part:08d}.{kind}")  # a repeated task writes the same piece again
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64())], names=["part", "n"])
+
+        try:
+            tmp.mkdir()
+            done = sum(r["n"] for r in texts.mapInArrow(encode, "part int, n long").collect())  # one row per task
+            if done != n:
+                raise RuntimeError(f"{done} rows written of {n}")
+            frame = stata_frame(names, widths, labels)
+            at = frame.index(b"<map>") + 5
+            places = list(struct.unpack_from("<14Q", frame, at))
+            head = bytearray(frame[: places[9]])
+            struct.pack_into("<I", head, head.index(b"<N>") + 3, n)
+            with open(target, "wb") as out:
+                out.write(head)
+                for i, (tag, kind) in enumerate((("data", "rows"), ("strls", "longs")), 9):
+                    places[i] = out.tell()
+                    out.write(f"<{tag}>".encode())
+                    for p in sorted(tmp.glob(f"*.{kind}")):
+                        with open(p, "rb") as f:
+                            shutil.copyfileobj(f, out, 1 << 20)
+                    out.write(f"</{tag}>".encode())
+                moved = out.tell() - places[11]
+                out.write(frame[places[11] :])
+                out.seek(at)
+                out.write(struct.pack("<14Q", *places[:11], *[x + moved for x in places[11:]]))
+        finally:
+            shutil.rmtree(tmp, ignore_errors=True)
+
+
+def stata_layout(path: str) -> tuple[list[str], list[int], int, int]:
+    """(names, widths, rows, place of the first row) of a file of texts such as write_stata makes."""
+    with open(path, "rb") as f:
+        head = f.read(1 << 12)
+        k, n = (struct.unpack_from(kind, head, head.index(tag) + len(tag))[0] for kind, tag in (("<H", b"<K>"), ("<I", b"<N>")))
+        places = struct.unpack_from("<14Q", head, head.index(b"<map>") + 5)
+        f.seek(0)
+        head = f.read(places[9])
+    widths = list(struct.unpack_from(f"<{k}H", head, places[2] + len("<variable_types>")))
+    if wrong := [w for w in widths if w > STATA_TEXT]:
+        raise ValueError(f"{path}: columns of types {wrong} are no texts of fixed room")
+    at = places[3] + len("<varnames>")
+    names = [head[at + 33 * i : at + 33 * i + 33].partition(b"\0")[0].decode("latin-1") for i in range(k)]
+    return names, widths, n, places[9] + len("<data>")
 
 
 def write_table(df: DataFrame, folder: str, name: str, formats: list[str], variables: list[tuple[Variable, str]] = (), single: bool = False) -> dict:
