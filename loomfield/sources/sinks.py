@@ -3,8 +3,8 @@
 Text formats are built as whole lines inside the JVM and written in parallel;
 in a folder each part bears the header. On request the parts are strung
 together in order as one file, by copying streams. Workbooks and Stata files
-are always single; tasks write a Stata file's rows as pieces, and the driver
-holds none of them.
+are always single; tasks write their rows as pieces, and the driver holds none
+of them.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ import shutil
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 from itertools import accumulate
+from operator import xor
 from pathlib import Path
 from xml.sax.saxutils import escape
 
@@ -28,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import padded, quoted, stata_name
 from ..session import file_url, local_path, ship_package
@@ -41,6 +45,8 @@ _ABOUT = {
 }
 FORMATS = {name: (suffix, _ABOUT[name]) for name, suffix in SUFFIXES.items()}
 SHEET_ROWS = 1_048_576
+HEAD_ROWS = 2
+SHEET_ROOM = SHEET_ROWS - HEAD_ROWS
 #: The most rows and the longest text of fixed room that Stata's format takes; longer texts stand in its part for strLs.
 STATA_ROWS, STATA_TEXT = 2**31 - 1, 2045
 FWF_DEFAULT = 12
@@ -174,33 +180,139 @@ def _sheet_row(r: int, cells: Iterable) -> str:
     return f'<row r="{r}">{"".join(out)}</row>'
 
 
-# The parts every workbook has.
-_BOOK = {
-    "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/worksheets/sheet2.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-    "_rels/.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-    "xl/workbook.xml": '<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Data" sheetId="1" r:id="rId1"/><sheet name="Variables" sheetId="2" r:id="rId2"/></sheets></workbook>',
-    "xl/_rels/workbook.xml.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet2.xml"/></Relationships>',
-}
+def sheet_rows(df: DataFrame, number: Column) -> DataFrame:
+    """(sheet, xml): each row as a data sheet has it; number counts rows from 0 over all sheets. Numbers stay numbers, the rest is text."""
+    at = df.select((number / SHEET_ROOM).cast("int").alias("_sheet"), (number % SHEET_ROOM + HEAD_ROWS + 1).cast("string").alias("_r"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(df.columns)])
+    lost = "".join(chr(x) for x in range(32) if chr(x) not in "\t\n\r")
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        text = F.col(f"_{i}").cast("string")
+        if isinstance(f.dataType, T.NumericType):
+            cell = F.concat(F.lit(f'<c r="{_sheet_ref(i)}'), "_r", F.lit('"><v>'), text, F.lit("</v></c>"))
+        else:
+            plain = F.translate(text, lost, "")
+            for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+                plain = F.replace(plain, F.lit(sign), F.lit(name))
+            cell = F.concat(F.lit(f'<c r="{_sheet_ref(i)}'), "_r", F.lit('" t="inlineStr"><is><t xml:space="preserve">'), plain, F.lit("</t></is></c>"))
+        cells.append(F.when(text != "", cell).otherwise(""))
+    return at.select(F.col("_sheet").alias("sheet"), F.concat(F.lit('<row r="'), "_r", F.lit('">'), *cells, F.lit("</row>")).alias("xml"))
+
+
+class _Piece:
+    """A stretch of a sheet, packed so that pieces written one behind the other are one deflated text."""
+
+    def __init__(self, path: str):
+        self.path, self.file, self.pack = path, open(f"{path}.{uuid.uuid4().hex}", "wb"), zlib.compressobj(wbits=-zlib.MAX_WBITS)
+        self.size = self.packed = self.crc = 0
+
+    def write(self, text) -> None:
+        self.size, self.crc = self.size + len(text), zlib.crc32(text, self.crc)
+        self.packed += self.file.write(self.pack.compress(text))
+
+    def close(self, last: bool = False) -> tuple[str, int, int, int]:
+        self.packed += self.file.write(self.pack.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH))
+        self.file.close()
+        os.replace(self.file.name, self.path)  # a repeated task writes the same piece again
+        return self.path, self.size, self.packed, self.crc
+
+
+def _joined_crc(a: int, b: int, n: int) -> int:
+    """The CRC of two texts in a row from their own; n bytes has the second."""
+    times = lambda m, x: reduce(xor, (m[i] for i in range(32) if x >> i & 1), 0)
+    step = [zlib.crc32(b"\0", 1 << i) ^ zlib.crc32(b"\0") for i in range(32)]  # what zero bytes behind it make of each bit: 1, 2, 4, ... bytes
+    while n:
+        if n & 1:
+            a = times(step, a)
+        step, n = [times(step, c) for c in step], n >> 1
+    return a ^ b
+
+
+def _add_packed(z: zipfile.ZipFile, name: str, pieces: list[tuple[str, int, int, int]]) -> None:
+    """Pieces as one member; they are copied as they are."""
+    info = zipfile.ZipInfo(name)
+    info.compress_type = zipfile.ZIP_DEFLATED
+    for _, size, packed, crc in pieces:
+        info.CRC = _joined_crc(info.CRC if info.file_size else 0, crc, size)
+        info.file_size, info.compress_size = info.file_size + size, info.compress_size + packed
+    z.fp.seek(z.start_dir)
+    info.header_offset = z.fp.tell()
+    z.fp.write(info.FileHeader(zip64=True))
+    for path, *_ in pieces:
+        with open(path, "rb") as f:
+            shutil.copyfileobj(f, z.fp, 1 << 20)
+    z.start_dir = z.fp.tell()
+    z.filelist.append(info)
+    z.NameToInfo[name] = info
+
+
+def _book(sheets: int) -> dict[str, str]:
+    """The parts of a workbook beside its sheets: rows in sheets 1, 3, 4, ..., variables in sheet 2."""
+    named = [("Data" if i == 0 else f"Data {i + 1}", n) for i, n in enumerate(data_sheets(sheets))] + [("Variables", 2)]
+    head, kind = '<?xml version="1.0" encoding="UTF-8"?>', "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    doc = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    return {
+        "[Content_Types].xml": f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>'
+        + "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="{kind}.worksheet+xml"/>' for _, n in named) + "</Types>",
+        "_rels/.rels": f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{doc}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'{head}<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{doc}"><sheets>' + "".join(f'<sheet name="{name}" sheetId="{n}" r:id="rId{n}"/>' for name, n in named) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{n}" Type="{doc}/worksheet" Target="worksheets/sheet{n}.xml"/>' for _, n in named) + "</Relationships>",
+    }
+
+
+def data_sheets(sheets: int) -> list[int]:
+    """Numbers of the files that hold the rows' sheets."""
+    return [1, *range(3, sheets + 2)]
+
+
 _SHEET = '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
 VARIABLE_SHEET = ("Variable", "Label", "Type", "Width", "Decimals", "Encoding", "Min", "Max")
 
 
 def write_excel(df: DataFrame, target: str, variables: list[tuple[Variable, str]]) -> None:
-    """Sheet Data (labels, names, rows) and sheet Variables; rows stream from the cluster one partition at a time."""
+    """Sheet Data (labels, names, rows) and sheet Variables; what one sheet can't hold goes on in Data 2, Data 3 and so on.
+
+    Tasks write and pack the rows of their partitions as pieces, which are copied into the workbook.
+    """
     labels = {v.name: v.label for v, _ in variables if v.label}
-    n = df.count()
-    if n + 2 > SHEET_ROWS:
-        raise ValueError(f"{n} rows do not fit a sheet of {SHEET_ROWS}")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in _BOOK.items():
-            z.writestr(name, text)
-        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
-            f.write((_SHEET + _sheet_row(1, [labels.get(c, c) for c in df.columns]) + _sheet_row(2, df.columns)).encode())
-            for r, row in enumerate(df.toLocalIterator(), 3):
-                f.write(_sheet_row(r, row).encode())
-            f.write(b"</sheetData></worksheet>")
-        rows = [VARIABLE_SHEET] + [(v.name, v.label, v.type, v.ddi_width, v.dcml, e, v.rng_min, v.rng_max) for v, e in variables]
-        z.writestr("xl/worksheets/sheet2.xml", _SHEET + "".join(_sheet_row(r, row) for r, row in enumerate(rows, 1)) + "</sheetData></worksheet>")
+    tmp = Path(f"{target}.{uuid.uuid4().hex}.parts")
+    ship_package(df.sparkSession)
+    with _held(df) as held:
+        starts, n, _ = _starts(held, [])
+        first = F.element_at(F.array(*[F.lit(starts.get(p, 0)).cast("long") for p in range(max(starts, default=0) + 1)]), F.spark_partition_id() + 1)
+        rows = sheet_rows(held, first + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, pieces, lines = TaskContext.get().partitionId(), {}, 0
+            for b in batches:
+                sheet, xml = b["sheet"].to_numpy(), b["xml"].cast(pa.string())
+                ends = np.frombuffer(xml.buffers()[1], "<i4", len(xml) + 1, xml.offset * 4) if len(xml) else ()
+                for s in np.unique(sheet).tolist():
+                    lo, hi = np.searchsorted(sheet, [s, s + 1])
+                    if s not in pieces:
+                        pieces[s] = _Piece(f"{tmp}/{part:08d}-{s:04d}")
+                    pieces[s].write(memoryview(xml.buffers()[2])[ends[lo] : ends[hi]])
+                lines += len(xml)
+            done = [(part, s, *p.close()) for s, p in pieces.items()]
+            yield pa.RecordBatch.from_pylist([dict(zip(("part", "sheet", "path", "size", "packed", "crc"), x)) | {"n": lines if i == 0 else 0} for i, x in enumerate(done)], pa.schema([("part", pa.int32()), ("sheet", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("packed", pa.int64()), ("crc", pa.int64()), ("n", pa.int64())]))
+
+        try:
+            tmp.mkdir()
+            got = sorted(map(tuple, rows.mapInArrow(encode, "part int, sheet int, path string, size long, packed long, crc long, n long").collect()))  # a row per task and sheet
+            if (done := sum(x[-1] for x in got)) != n:
+                raise RuntimeError(f"{done} rows written of {n}")
+            sheets = max(1, -(-n // SHEET_ROOM))
+            with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, text in _book(sheets).items():
+                    z.writestr(name, text)
+                for s, number in enumerate(data_sheets(sheets)):
+                    head, tail = _Piece(f"{tmp}/head-{s}"), _Piece(f"{tmp}/tail-{s}")
+                    head.write((_SHEET + _sheet_row(1, [labels.get(c, c) for c in df.columns]) + _sheet_row(2, df.columns)).encode())
+                    tail.write(b"</sheetData></worksheet>")
+                    _add_packed(z, f"xl/worksheets/sheet{number}.xml", [head.close(), *[x[2:6] for x in got if x[1] == s], tail.close(last=True)])
+                told = [VARIABLE_SHEET] + [(v.name, v.label, v.type, v.ddi_width, v.dcml, e, v.rng_min, v.rng_max) for v, e in variables]
+                z.writestr("xl/worksheets/sheet2.xml", _SHEET + "".join(_sheet_row(r, row) for r, row in enumerate(told, 1)) + "</sheetData></worksheet>")
+        finally:
+            shutil.rmtree(tmp, ignore_errors=True)
 
 
 def stata_frame(names: list[str], widths: list[int], labels: dict[str, str]) -> bytes:

@@ -2,6 +2,8 @@
 
 import io
 import re
+import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
 import pytest
@@ -54,3 +56,36 @@ def test_stata_long_texts(spark, tmp_path, no_rows_on_driver):
 def test_stata_refuses_what_it_cannot_hold(spark, tmp_path):
     got = sinks.write_table(spark.createDataFrame([("日本",)], "a string"), str(tmp_path), "t", ["stata"])
     assert "error" in got["stata"] and not list(tmp_path.iterdir())
+
+
+def cells_of(path, number):
+    """Rows of a sheet as (place -> text)."""
+    with zipfile.ZipFile(path) as z:
+        root = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{number}.xml"))
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    return [{c.get("r"): "".join(c.itertext()) for c in row} for row in root.iter(ns + "row")]
+
+
+@pytest.mark.parametrize("n, want", [(0, [0]), (99, [99]), (100, [100]), (101, [100, 1]), (1000, [100] * 10)])
+def test_rows_beyond_a_sheet_go_on_in_the_next(spark, tmp_path, n, want, no_rows_on_driver, monkeypatch):
+    monkeypatch.setattr(sinks, "SHEET_ROOM", 100)
+    df = rows_of(spark, n, 7).withColumn("number", F.col("key").cast("long"))
+    got = sinks.write_table(df, str(tmp_path), "t", ["excel"], [(Variable("key", "Key"), "char")])
+    assert "error" not in got["excel"], got
+    with zipfile.ZipFile(tmp_path / "t.xlsx") as z:
+        assert z.testzip() is None
+        names = re.findall(r'sheet name="([^"]*)" sheetId="\d+" r:id="rId(\d+)"', z.read("xl/workbook.xml").decode())
+    assert names == [("Data", "1"), *[(f"Data {i}", str(i + 1)) for i in range(2, len(want) + 1)], ("Variables", "2")]
+    rows, all_cells = df.collect(), []
+    for k, number in zip(want, sinks.data_sheets(len(want))):
+        labels, heads, *more = cells_of(tmp_path / "t.xlsx", number)
+        assert labels == {"A1": "Key", "B1": "te-xt", "C1": "none", "D1": "number"} and heads["A2"] == "key" and len(more) == k
+        all_cells += [[c.get(f"{x}{r}", "") for x in "ABCD"] for r, c in enumerate(more, 3)]
+    assert all_cells == [[str(x) for x in r] for r in rows]
+    assert [p.name for p in tmp_path.iterdir()] == ["t.xlsx"]
+
+
+def test_cells_of_a_workbook_lose_signs_that_xml_cannot_hold(spark, tmp_path):
+    df = spark.createDataFrame([("a\0\x01b\tc <&>\n", None, 1.5, 2)], "a string, b string, c double, d int")
+    sinks.write_table(df, str(tmp_path), "t", ["excel"])
+    assert cells_of(tmp_path / "t.xlsx", 1)[2] == {"A3": "ab\tc <&>\n", "C3": "1.5", "D3": "2"}
