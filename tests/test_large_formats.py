@@ -152,6 +152,7 @@ def alone(spark, tiny, tmp_path_factory):
     "name, formats",
     [
         ("convert_console", set(sinks.FORMATS)),
+        ("convert_report", set(sinks.FORMATS)),
         ("converted_csv", {"csv"}),
     ],
 )
