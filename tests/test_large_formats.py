@@ -156,6 +156,7 @@ def alone(spark, tiny, tmp_path_factory):
         ("convert_checks", {"parquet"}),
         ("convert_errors", {"parquet"}),
         ("converted_csv", {"csv"}),
+        ("converted_tsv", {"tsv"}),
     ],
 )
 def test_query_fetches_no_rows_and_writes_what_it_needs(spark, tiny, alone, name, formats, monkeypatch):
