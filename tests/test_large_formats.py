@@ -157,6 +157,7 @@ def alone(spark, tiny, tmp_path_factory):
         ("convert_errors", {"parquet"}),
         ("converted_csv", {"csv"}),
         ("converted_tsv", {"tsv"}),
+        ("converted_jsonl", {"jsonl"}),
     ],
 )
 def test_query_fetches_no_rows_and_writes_what_it_needs(spark, tiny, alone, name, formats, monkeypatch):
