@@ -159,6 +159,7 @@ def alone(spark, tiny, tmp_path_factory):
         ("converted_tsv", {"tsv"}),
         ("converted_jsonl", {"jsonl"}),
         ("converted_fwf", {"fwf"}),
+        ("converted_parquet", {"parquet"}),
     ],
 )
 def test_query_fetches_no_rows_and_writes_what_it_needs(spark, tiny, alone, name, formats, monkeypatch):
