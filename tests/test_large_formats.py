@@ -160,6 +160,7 @@ def alone(spark, tiny, tmp_path_factory):
         ("converted_jsonl", {"jsonl"}),
         ("converted_fwf", {"fwf"}),
         ("converted_parquet", {"parquet"}),
+        ("stata_labels", {"stata"}),
     ],
 )
 def test_query_fetches_no_rows_and_writes_what_it_needs(spark, tiny, alone, name, formats, monkeypatch):
