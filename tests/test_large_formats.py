@@ -160,6 +160,7 @@ def alone(spark, tiny, tmp_path_factory):
         ("converted_jsonl", {"jsonl"}),
         ("converted_fwf", {"fwf"}),
         ("converted_parquet", {"parquet"}),
+        ("excel_variables", {"excel"}),
         ("stata_labels", {"stata"}),
     ],
 )
